@@ -128,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame):
 
     joined = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(sample), "doc_id").select("doc_id", "q", "text")
     got = joined.mapInPandas(features, "doc_id long, q int, x array<int>").toPandas()
+    got["x"] = [np.asarray(x, np.int32) for x in got.x]
     got = got.assign(order=[x.tobytes() for x in got.x]).sort_values(["doc_id", "order"])
     return fit(list(got.x), got.q.to_numpy())
 
