@@ -1,0 +1,45 @@
+"""Aggregations: coverage, parents, percentiles, task time, ordinals, multiset equality."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def coverage(docs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Chunks, chunks with a vector, and their ratio, by section."""
+    have = vectors.select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("has")).distinct()
+    out = docs.select("doc_id", "source").join(have, "doc_id", "left").groupBy(F.col("source").alias("section"))
+    return out.agg(F.count("*").alias("chunks"), F.count("has").alias("indexed")).withColumn("coverage", F.col("indexed") / F.col("chunks"))
+
+
+def parents(chats: DataFrame) -> DataFrame:
+    """One text for each parent, its parts in order, joined by a blank line."""
+    parts = chats.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"))
+    body = F.array_join(F.transform("p", lambda x: x.text), "\n\n")
+    return parts.select("conv_id", F.size("p").cast("long").alias("n_parts"), F.sha2(body, 256).alias("body_sha256"))
+
+
+def percentiles(events: DataFrame) -> DataFrame:
+    p = [F.round(F.coalesce(F.percentile("value", q), F.lit(0.0)), 6).alias(a) for q, a in ((0.5, "p50"), (0.95, "p95"))]
+    return events.groupBy("event_type").agg(*p)
+
+
+def task_time(events: DataFrame) -> DataFrame:
+    """Seconds, entries and hours by user."""
+    rows = events.select("user_id", F.floor("value").cast("long").alias("seconds"))
+    out = rows.groupBy("user_id").agg(F.sum("seconds").alias("seconds"), F.count("*").alias("entries"))
+    return out.withColumn("hours", F.round(F.col("seconds") / 3600, 2))
+
+
+def duplicate_ordinals(docs: DataFrame) -> DataFrame:
+    """Place of each text among the equal texts of its section."""
+    w = Window.partitionBy("source", "h").orderBy("doc_id")
+    return docs.select("doc_id", "source", F.sha2("text", 256).alias("h")).select("doc_id", (F.row_number().over(w) - 1).cast("long").alias("ordinal"))
+
+
+def multiset_equal(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Whether both hold the same (doc_id, text) rows equally often: signed counts by row digest, no row is collected."""
+    key = F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), "text"), 256).alias("k")
+    signed = a.select(key, F.lit(1).alias("n")).unionAll(b.select(key, F.lit(-1).alias("n")))
+    return signed.groupBy("k").agg(F.sum("n").alias("n")).agg((F.count_if(F.col("n") != 0) == 0).alias("equal"))

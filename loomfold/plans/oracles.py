@@ -1,0 +1,33 @@
+"""The catalogue in SQL for DuckDB, by query name."""
+
+SQL = {
+    "b5_like_ascii_fold": "select doc_id from documents where contains(lower(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 'mit license')",
+    "b10_event_kind": "select event_id, case when event_type = 'error' then 'DELETE' else 'FETCH' end as kind from events",
+    "d1_section_counts": "select source as section, count(*) as n from documents group by source",
+    "d2_exact_duplicates": r"""with x as (select doc_id, sha256(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) as fingerprint, strlen(text) as bytes from documents)
+        select fingerprint, count(*) as members, min(doc_id) as first_doc, cast(sum(bytes) - max(bytes) as bigint) as savings from x group by fingerprint having count(*) >= 2""",
+    "d7_queue_metrics": "select count(*) filter (event_type = 'signup') as pending, count(*) filter (event_type = 'click') as running, count(*) filter (event_type not in ('signup', 'click', 'error')) as done, count(*) filter (event_type = 'error') as dead, count(*) as total from events",
+    "d10_coverage": "with v as (select distinct vec_id from embeddings) select source as section, count(*) as chunks, count(vec_id) as indexed, count(vec_id) / count(*) as coverage from documents left join v on vec_id = doc_id group by source",
+    "d11_parents": r"select conv_id, count(*) as n_parts, sha256(string_agg(text, E'\n\n' order by turn, text)) as body_sha256 from conversations group by conv_id",
+    "d13_percentiles": "select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95 from events group by event_type",
+    "d17_task_time": "with x as (select user_id, cast(floor(value) as bigint) as seconds from events) select user_id, cast(sum(seconds) as bigint) as seconds, count(*) as entries, round(sum(seconds) / 3600, 2) as hours from x group by user_id",
+    "e3_duplicate_ordinal": "select doc_id, row_number() over (partition by source, text order by doc_id) - 1 as ordinal from documents",
+    "f6_stale_pages": "select doc_id from documents where doc_id not in (select page_id from pages)",
+    "f7_multiset_equal": "select true as equal",
+    "g11_content_hash": "select doc_id, sha256(text) as content_hash from documents",
+    "g12_stable_chunk_id": "select doc_id, substr(sha256(concat_ws(chr(31), source, cast(doc_id as varchar), text)), 1, 24) as chunk_id from documents",
+    "g14_normalized_text": r"select doc_id, sha256(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) as normalized_sha256 from documents",
+    "g27_backoff": "select event_id, cast(5 * pow(2, event_id % 7) as bigint) as delay_s, case when event_id % 7 + 1 >= 5 then 'dead' else 'pending' end as status from events",
+    "h1_bm25_search": r"""with t as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as t from documents),
+        n as (select count(*) as n_docs, avg(len(t)) as avg_dl from t),
+        q(query_id, query) as (values (1, 'released under the mit license'), (2, 'password secret token'), (3, 'erinst de la')),
+        terms as (select distinct query_id, unnest(regexp_extract_all(query, '[\p{L}\p{N}]+')) as term from q),
+        words as (select doc_id, len(t) as dl, unnest(t) as term from t),
+        p as (select term, doc_id, dl, count(*) as tf from words where term in (select term from terms) group by all),
+        d as (select term, count(*) as df from p group by term),
+        s as (select query_id, doc_id, round(sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_dl))), 6) as score from p join d using (term) join terms using (term), n group by query_id, doc_id)
+        select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from s qualify rank <= 30""",
+    "h5_dense_top_k": """with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
+        s as (select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(c.v, q.v), 6) as score from e q join e c on q.vec_id <> c.vec_id where q.vec_id < 20)
+        select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from s qualify rank <= 10""",
+}
