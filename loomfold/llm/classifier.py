@@ -137,8 +137,9 @@ def score(docs: DataFrame, model, carry: list[str] | None = None) -> DataFrame:
     """Columns `carry` (doc_id) of each row, and its score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = carry or ["doc_id"]
-    kept = docs.select(*names, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + ", score double"
+    kept = docs.select(*names) if "text" in names else docs.select(*names, "text")
+    at = kept.columns.index("text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields) + ", score double"
 
     def run(batches):
         import pyarrow as pa
@@ -146,13 +147,13 @@ def score(docs: DataFrame, model, carry: list[str] | None = None) -> DataFrame:
         make = Features()
         for batch in batches:
             scores = []
-            for t in batch.column(batch.num_columns - 1).to_pylist():
+            for t in batch.column(at).cast(pa.string()).to_pylist():
                 if held.value is None:
                     scores.append(0.5)
                     continue
                 fitted, a, b = held.value
                 scores.append(float(1 / (1 + np.exp(-np.clip(a * margin(fitted, make(plain(t))) + b, -30, 30)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.float64())], names=[*names, "score"])
 
     return kept.mapInArrow(run, schema)
 

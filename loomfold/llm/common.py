@@ -70,3 +70,15 @@ def encoder(path: str | None = None):
 def plain(text: str | None) -> str:
     """Null texts count as empty; lone surrogates cannot occur in Spark strings."""
     return text or ""
+
+
+#: Rows of a key table that may be broadcast; above it the join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def without(docs: DataFrame, rejected: DataFrame, on) -> DataFrame:
+    """Rows of `docs` that no row of `rejected` matches on its columns `on`; `rejected` is broadcast only if it is counted as small."""
+    from pyspark.sql import functions as F
+
+    rejected = durable(rejected.select(*on).distinct())
+    return docs.join(F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected, on, "left_anti")

@@ -64,7 +64,7 @@ def sketch(x: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """Fast similarity sketch of a non-empty set of hashes, 32 bits for each coordinate."""
     out = np.full(width, np.iinfo(np.uint64).max, np.uint64)
     for i in range(2 * width):
-        h = mix(x + np.uint64(i + 1) * PRIME)
+        h = mix(x + np.uint64((i + 1) * int(PRIME) & 0xFFFFFFFFFFFFFFFF))
         value = (np.uint64(i) << np.uint64(48)) | (mix(h) >> np.uint64(16))
         if i < width:
             np.minimum.at(out, (h % np.uint64(width)).astype(np.intp), value)

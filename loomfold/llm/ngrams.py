@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from loomfold.llm.common import durable, plain, table
 
+#: SQL that names a row by its content.
+ROW = "md5(concat(coalesce(cast(doc_id as string), ''), ':', coalesce(cast(text as string), '')))"
 ORDER, SLOTS, BAND, FLOOR = 4, 1 << 21, 8.0, 0.35
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -175,8 +177,8 @@ def scored(docs: DataFrame) -> DataFrame:
             base["cost"] = [held.value.cost(codes(t), a) for a, t in zip(f.lang, texts, strict=True)]
             yield base
 
-    rows = docs.selectExpr("xxhash64(doc_id, text) row", "cast(doc_id as long) doc_id", "coalesce(cast(lang as string), '') lang", "cast(text as string) text")
-    return rows.mapInPandas(run, "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, cost double")
+    rows = docs.selectExpr(f"{ROW} row", "cast(doc_id as long) doc_id", "coalesce(cast(lang as string), '') lang", "cast(text as string) text")
+    return rows.mapInPandas(run, "row string, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, cost double")
 
 
 def judge(docs: DataFrame) -> DataFrame:
