@@ -54,7 +54,8 @@ class PerfectHash:
                 self.words[s], self.ids[s] = key, ranks[key]
 
     def slot(self, h: int, shift: int) -> int:
-        return ((h & 0xFFFFFFFF) + shift * ((h >> 32 & 0xFFFFFFFF) | 1)) % self.n
+        x = ((h & 0xFFFFFFFFFFFFFFFF) + shift * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+        return ((x ^ x >> 31) >> 7) % self.n
 
     def get(self, word: bytes) -> int | None:
         h = xxhash.xxh3_128_intdigest(word)
