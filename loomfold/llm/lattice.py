@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from loomfold.llm.common import durable, table
 from loomfold.llm.components import components
 
-TABLES, PROBES, SCALE, COSINE, BLOCK = 10, 6, 1.6, 0.93, 512
+TABLES, PROBES, SCALE, COSINE, BLOCK = 10, 6, 1.1, 0.93, 512
 
 
 def d8(x: np.ndarray) -> np.ndarray:
