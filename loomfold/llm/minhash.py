@@ -16,8 +16,6 @@ doc_id is larger than any other and is kept; each row gives one row; further col
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -28,8 +26,6 @@ from loomfold.llm.common import durable, plain, table
 from loomfold.llm.components import components
 
 WORDS, WIDTH, BANDS, ROWS, AGREE, KEPT = 5, 160, 40, 4, 76, 400_000
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ASCII = {c: c + 32 for c in range(65, 91)}
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -41,37 +37,43 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class Shingles:
     def __init__(self):
-        self.seen: dict[str, int] = {}
+        self.seen: dict[bytes, int] = {}
 
     def __call__(self, text: str) -> tuple[bytes | None, np.ndarray]:
         """The node (a digest of the words) and the sorted distinct 64-bit shingle hashes."""
-        words = WORD.findall(text.translate(ASCII))
+        words = text.encode().lower().split()  # bytes: A-Z only, and the white space \x20 and \x09-\x0D
         if not words:
             return None, np.empty(0, np.uint64)
         if len(self.seen) > KEPT:
             self.seen.clear()
-        for w in set(words) - self.seen.keys():
-            self.seen[w] = xxhash.xxh3_64_intdigest(w.encode())
-        ids = np.fromiter((self.seen[w] for w in words), np.uint64, len(words))
+        for w in set(words).difference(self.seen):
+            self.seen[w] = xxhash.xxh3_64_intdigest(w)
+        ids = np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
         n = max(1, len(ids) - WORDS + 1)
         h = np.full(n, min(len(ids), WORDS), np.uint64)
         for k in range(min(len(ids), WORDS)):
             h = mix(h * PRIME + ids[k : k + n])
-        return xxhash.xxh3_128_digest(" ".join(words).encode()), np.unique(h)
+        return xxhash.xxh3_128_digest(b" ".join(words)), np.unique(h)
 
 
 def sketch(x: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """Fast similarity sketch of a non-empty set of hashes, 32 bits for each coordinate."""
     out = np.full(width, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(2 * width):
-        h = mix(x + np.uint64((i + 1) * int(PRIME) & 0xFFFFFFFFFFFFFFFF))
-        value = (np.uint64(i) << np.uint64(48)) | (mix(h) >> np.uint64(16))
-        if i < width:
-            np.minimum.at(out, (h % np.uint64(width)).astype(np.intp), value)
-        else:
-            out[i - width] = min(out[i - width], value.min())
-        if i + 1 < 2 * width and (out >> np.uint64(48) <= np.uint64(i)).all():
-            break
+    step = max(1, 2048 // len(x))  # rounds thrown together; a later round never displaces the value of an earlier one
+
+    def thrown(i: np.ndarray):
+        h = mix(x[None, :] + ((i + np.uint64(1)) * PRIME)[:, None])
+        return h, (i << np.uint64(48))[:, None] | (mix(h) >> np.uint64(16))
+
+    for lo in range(0, width, step):
+        h, value = thrown(np.arange(lo, min(lo + step, width), dtype=np.uint64))
+        np.minimum.at(out, (h % np.uint64(width)).astype(np.intp).ravel(), value.ravel())
+        if (out >> np.uint64(48) < np.uint64(width)).all():
+            return mix(out).astype(np.uint32)
+    empty = np.flatnonzero(out == np.iinfo(np.uint64).max)
+    for lo in range(0, len(empty), step):
+        bins = empty[lo : lo + step]
+        out[bins] = thrown(bins.astype(np.uint64) + np.uint64(width))[1].min(axis=1)
     return mix(out).astype(np.uint32)
 
 
