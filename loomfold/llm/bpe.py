@@ -110,7 +110,7 @@ class Codec:
             if len(self.seen) > KEPT:
                 self.seen.clear()
             seen = self.seen
-            for word in set(words) - seen.keys():
+            for word in set(words).difference(seen):
                 seen[word] = self.pre_token(word)
             yield [seen[w] for w in words]
 
