@@ -133,7 +133,7 @@ class Counter:
         if len(self.lexicon) > KEPT:
             self.lexicon.clear()
         lexicon, enc = self.lexicon, self.enc
-        for word in set(words) - lexicon.keys():
+        for word in set(words).difference(lexicon):
             lexicon[word] = len(enc._core_bpe.encode_single_piece(word.encode()))
         tokens = np.append(0, np.cumsum([lexicon[w] for w in words], dtype=np.int64))
         edges = np.searchsorted(starts, np.append(0, ends))
