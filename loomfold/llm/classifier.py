@@ -39,7 +39,7 @@ class Features:
         if len(self.seen) > KEPT:
             self.seen.clear()
         seen = self.seen
-        for w in set(words) - seen.keys():
+        for w in set(words).difference(seen):
             seen[w] = zlib.crc32(w.encode())
         ids = np.fromiter((seen[w] for w in words), np.uint64, len(words))
         pairs = (ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:]) >> np.uint64(40)
@@ -47,8 +47,8 @@ class Features:
         n, chars = max(1, len(words)), max(1, len(text))
         shares = [
             len(set(words)) / n,
-            sum(c.isupper() for c in text) / chars,
-            sum(c.isdigit() for c in text) / chars,
+            sum(map(str.isupper, text)) / chars,
+            sum(map(str.isdigit, text)) / chars,
             len(re.findall(r"[^\w\s]", text)) / chars,
             sum(map(len, words)) / n / 10,
             len(set(lines)) / max(1, len(lines)),
