@@ -22,3 +22,21 @@ def normalized(text: Column) -> Column:
 def stable_chunk_id(*fields: Column) -> Column:
     """First 24 hex digits of the digest of the fields joined by the unit separator."""
     return F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(f, F.lit("")) for f in fields]), 256), 1, 24)
+
+
+def page_ids(text: Column) -> Column:
+    """A bare number of 6 to 12 digits, else the numbers after each `pageId`, in order, once each."""
+    bare = F.regexp_extract(text, r"^\s*(\d{6,12})\s*$", 1)
+    named = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)pageId\s*[:=]?\s*(\d+)")))
+    return F.when(bare != "", F.array(bare)).otherwise(named)
+
+
+def query_terms(text: Column) -> Column:
+    """Lower-case words of three characters or more that are not numbers."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{3,})"))
+    return F.filter(words, lambda w: ~w.rlike(r"^[0-9]+$"))
+
+
+def truncated(text: Column, n: int, mark: str = "…") -> Column:
+    """The text, or its first n characters and a mark."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(mark))).otherwise(text)

@@ -1,8 +1,8 @@
-"""Queue and event operators (B10, D7, G27). Events stand for jobs: signup pending, error dead, click running, others done."""
+"""Queue and event operators (B10, C7, D7, G27, S3, S4, S7, S18). Events stand for jobs: signup pending, error dead, click running, others done."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("pending", "running", "done", "dead")
@@ -28,3 +28,26 @@ def backoff(events: DataFrame, base: int = 5, most: int = 5) -> DataFrame:
     attempts = F.expr("cast(event_id % 7 as int) + 1")
     delay = (F.lit(base) * F.pow(F.lit(2), attempts - 1)).cast("long")
     return events.select("event_id", delay.alias("delay_s"), F.when(attempts >= most, "dead").otherwise("pending").alias("status"))
+
+
+def enqueue(jobs: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Upsert by `key` (S3): a known job goes one generation up and back to pending, a new one starts at 1."""
+    new = incoming.select("key").distinct().withColumn("again", F.lit(True))
+    out = jobs.join(new, "key", "full")
+    return out.select("key", (F.coalesce("generation", F.lit(0)) + F.when(F.col("again"), 1).otherwise(0)).cast("long").alias("generation"), F.when(F.col("again"), "pending").otherwise(F.col("status")).alias("status"))
+
+
+def lease(events: DataFrame, n: int) -> DataFrame:
+    """The first n pending jobs by id (S4); the limit is the operator's own."""
+    return events.filter(status_of(F.col("event_type")) == "pending").select("event_id").orderBy("event_id").limit(n)
+
+
+def first_open(events: DataFrame) -> DataFrame:
+    """The earliest open event of each page, so that a page's events are handled in order."""
+    return events.filter("event_type != 'error'").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+
+
+def batches(docs: DataFrame, size: int = 75) -> DataFrame:
+    """Batch number of each page within its section."""
+    w = Window.partitionBy("source").orderBy("doc_id")
+    return docs.select("doc_id", F.floor((F.row_number().over(w) - 1) / size).cast("long").alias("batch"))

@@ -17,8 +17,9 @@ def tokens(text):
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, score, rank of the best `k` documents of each query.
+    """query_id, doc_id, score, rank of the best `k` documents of each query; scores are negative, the lowest is best.
 
+    A term that half of the documents or more hold counts 1e-6.
     Only postings of the queries' terms leave the scan: the terms are joined before anything is grouped.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
@@ -27,10 +28,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     hits = sized.select("doc_id", "dl", F.explode("t").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term")
     postings = hits.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    odds = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(odds > 0, odds).otherwise(1e-6)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    scored = postings.join(df, "term").crossJoin(F.broadcast(totals)).join(F.broadcast(terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    scored = postings.join(df, "term").crossJoin(F.broadcast(totals)).join(F.broadcast(terms), "term").groupBy("query_id", "doc_id").agg(F.round(-F.sum(part), 6).alias("score"))
+    w = Window.partitionBy("query_id").orderBy("score", "doc_id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 

@@ -25,9 +25,46 @@ SQL = {
         words as (select doc_id, len(t) as dl, unnest(t) as term from t),
         p as (select term, doc_id, dl, count(*) as tf from words where term in (select term from terms) group by all),
         d as (select term, count(*) as df from p group by term),
-        s as (select query_id, doc_id, round(sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_dl))), 6) as score from p join d using (term) join terms using (term), n group by query_id, doc_id)
-        select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from s qualify rank <= 30""",
+        s as (select query_id, doc_id, round(-sum(case when n_docs > 2 * df then ln((n_docs - df + 0.5) / (df + 0.5)) else 1e-6 end * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_dl))), 6) as score from p join d using (term) join terms using (term), n group by query_id, doc_id)
+        select query_id, doc_id, score, row_number() over (partition by query_id order by score, doc_id) as rank from s qualify rank <= 30""",
     "h5_dense_top_k": """with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
         s as (select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(c.v, q.v), 6) as score from e q join e c on q.vec_id <> c.vec_id where q.vec_id < 20)
         select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from s qualify rank <= 10""",
+    "b1_metadata_filter": "select doc_id from documents where lang = 'fr' and source in (select min(source) from documents)",
+    "b6_json_path": """select event_id, regexp_extract(props, '"k":\s*([0-9]+)', 1) as k from events""",
+    "c7_first_open": "select user_id, event_id from events e where event_type <> 'error' and not exists (select 1 from events p where p.user_id = e.user_id and p.event_type <> 'error' and p.event_id < e.event_id)",
+    "d12_retrieval_metrics": """with r as (select user_id, event_type = 'purchase' as relevant, row_number() over (partition by user_id order by value desc, event_id) - 1 as r from events),
+        q as (select user_id, count(*) filter (relevant) as n, count(*) filter (relevant and r < 10) as top, min(r) filter (relevant) as first from r group by user_id)
+        select round(coalesce(avg(top / n) filter (n > 0), 0), 6) as recall, round(coalesce(avg(1 / (first + 1)) filter (n > 0), 0), 6) as mrr, count(*) filter (n > 0) as evaluated, count(*) as total from q""",
+    "d20_max_per_page": "select user_id, event_id from events qualify row_number() over (partition by user_id order by value desc, event_id) = 1",
+    "e1_section_rank": """with n as (select event_type as section, count(*) as n from events group by all), w as (select section, greatest(ln(greatest(n, 2)) / ln(greatest((select max(n) from n), 2)), 0.01) as w from n),
+        r as (select event_id as id, event_type as section, row_number() over (partition by event_type order by value desc, event_id) - 1 as r from events)
+        select section, id, round(r / w, 6) as section_rank from r join w using (section) where r < 30""",
+    "f2_page_dedupe": """with x as (select lang as query, source as page, doc_id as id, n_chars as score, case when contains(text, 'License') then 0 else 1 end as tier from documents),
+        f as (select * from x qualify row_number() over (partition by query, page order by tier, score desc, id) = 1)
+        select query, page, id, row_number() over (partition by query order by tier, score desc, id) as rank from f qualify rank <= 10""",
+    "g15_page_ids": "select doc_id, cast(doc_id + 100000 as varchar) as bare, array_to_string([cast(doc_id + 5 as varchar), cast(doc_id + 7 as varchar)], ',') as named from documents",
+    "g17_query_terms": r"select doc_id, cast(len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{3,}'), lambda x: not regexp_full_match(x, '[0-9]+'))) as bigint) as n_terms from documents",
+    "g29_truncated": "select doc_id, sha256(case when length(text) > 2000 then substr(text, 1, 2000) || '…' else text end) as sha from documents",
+    "h3_tfidf_search": r"""with words as (select source as section, doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) as term from documents),
+        tf as (select section, doc_id, term, count(*) as tf from words group by all), sizes as (select source as section, count(*) as n from documents group by all),
+        ranked as (select section, term, count(*) as df, row_number() over (partition by section order by sum(tf) desc, term) as place from tf group by section, term),
+        terms as (select section, term, ln((1 + n) / (1 + df)) + 1 as idf from ranked join sizes using (section) where place <= 10000),
+        w as (select section, doc_id, term, tf * idf as x from tf join terms using (section, term)), norms as (select section, doc_id, sqrt(sum(x * x)) as norm from w group by all),
+        q(query_id, query) as (values (1, 'released under the mit license'), (2, 'password secret token'), (3, 'erinst de la')),
+        qt as (select query_id, unnest(regexp_extract_all(query, '[\p{L}\p{N}_]{2,}')) as term from q), qc as (select query_id, term, count(*) as q_tf from qt group by all),
+        asked as (select query_id, section, term, q_tf * idf as y from qc join terms using (term)), q_norms as (select query_id, section, sqrt(sum(y * y)) as q_norm from asked group by all),
+        dots as (select query_id, section, doc_id, sum(x * y) as dot from w join asked using (section, term) group by all),
+        s as (select query_id, section, doc_id, round(dot / (norm * q_norm), 6) as score from dots join norms using (section, doc_id) join q_norms using (query_id, section))
+        select query_id, section, doc_id, score from s qualify row_number() over (partition by query_id, section order by score desc, doc_id) <= 30""",
+    "h7_rrf": """with n as (select event_type as section, count(*) as n from events group by all), w as (select section, greatest(ln(greatest(n, 2)) / ln(greatest((select max(n) from n), 2)), 0.01) as w from n),
+        k as (select event_type as section, event_id as id, value as dense, cast(regexp_extract(props, '([0-9]+)', 1) as double) as lexical from events),
+        m as (select max(lexical) as most from k), h as (select section, id, dense as score, 0.6 as weight from k union all select section, id, lexical / case when most = 0 then 1 else most end, 0.4 from k, m),
+        r as (select *, row_number() over (partition by section, weight order by score desc, id) - 1 as r from h)
+        select section, id, round(max(weight * score / (60 + r / w + 1)), 6) as score from r join w using (section) where r < 30 group by section, id""",
+    "h8_rank_sum": """with k as (select user_id as query, event_id as id, value as a, cast(regexp_extract(props, '([0-9]+)', 1) as double) as b from events),
+        r as (select query, id, 0.7 / row_number() over (partition by query order by a desc, id) + 0.3 / row_number() over (partition by query order by b desc, id) as s from k) select query, id, round(s, 4) as score from r""",
+    "s3_enqueue": "select doc_id as key, case lang when 'fr' then 2 else 1 end::bigint as generation, case lang when 'en' then 'done' else 'pending' end as status from documents where lang in ('en', 'fr', 'de')",
+    "s4_lease": "select event_id from events where event_type = 'signup' order by event_id limit 100",
+    "s18_batches": "select doc_id, cast(floor((row_number() over (partition by source order by doc_id) - 1) / 75) as bigint) as batch from documents",
 }
