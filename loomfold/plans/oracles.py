@@ -63,7 +63,7 @@ SQL = {
         r as (select *, row_number() over (partition by section, weight order by score desc, id) - 1 as r from h)
         select section, id, round(max(weight * score / (60 + r / w + 1)), 6) as score from r join w using (section) where r < 30 group by section, id""",
     "h8_rank_sum": """with k as (select user_id as query, event_id as id, value as a, cast(regexp_extract(props, '([0-9]+)', 1) as double) as b from events),
-        r as (select query, id, 0.7 / row_number() over (partition by query order by a desc, id) + 0.3 / row_number() over (partition by query order by b desc, id) as s from k) select query, id, round(s, 4) as score from r""",
+        r as (select query, id, 0.7 / row_number() over (partition by query order by a desc, id) + 0.3 / row_number() over (partition by query order by b desc, id) as s from k) select query, id, cast(round(cast(cast(s as varchar) as decimal(38, 18)), 4) as double) as score from r""",
     "s3_enqueue": "select doc_id as key, case lang when 'fr' then 2 else 1 end::bigint as generation, case lang when 'en' then 'done' else 'pending' end as status from documents where lang in ('en', 'fr', 'de')",
     "s4_lease": "select event_id from events where event_type = 'signup' order by event_id limit 100",
     "s18_batches": "select doc_id, cast(floor((row_number() over (partition by source order by doc_id) - 1) / 75) as bigint) as batch from documents",
