@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.selectExpr("*", f"{ngrams.ROW} row")
-    return without(keyed, ngrams.judge(docs).filter("not kept"), ["row"]).select(*docs.columns)
+    return without(keyed, ngrams.judge(docs, table(spark, sf_dir, "labels")).filter("not kept"), ["row"]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

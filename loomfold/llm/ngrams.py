@@ -5,7 +5,9 @@ documents: tasks count n-grams of their rows, a shuffle adds counts, lower order
 an n-gram. N-grams are hashed with their language to SLOTS slots for each order, so the sorted arrays of hashes and counts that are
 broadcast have a bounded size whatever the corpus (ORDER * SLOTS slots and contexts of 20 bytes together); counts themselves grow with the
 input. N-grams that share a slot share a count. A text's mean negative log probability per character is compared with
-bands of its language: median plus or minus BAND times the distance from the median to the outer tenth, over all documents with words.
+the band of its language: the interval of costs with the most right decisions on the labelled documents that pass the base rules (see
+`best_band`). A language without labels of both kinds takes the interval of all labels together, as distances from its median. No band is
+wider than the median plus or minus BAND times the distance from the median to the outer tenth, over all documents with words.
 
 Defined results: a null text is an empty one, without words, and fails; a null language is a language of its own; each row
 gives one row; further columns are ignored.
@@ -13,6 +15,7 @@ gives one row; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -27,6 +30,10 @@ from loomfold.llm.common import durable, plain, table
 #: SQL that names a row by its content.
 ROW = "md5(concat(coalesce(cast(doc_id as string), ''), ':', coalesce(cast(text as string), '')))"
 ORDER, SLOTS, BAND, FLOOR = 4, 1 << 21, 8.0, 0.35
+#: Width of the bins in which costs of labelled documents are counted.
+BIN = 0.002
+#: What the base rules reject.
+FAILED = "(n_words < 50 or 100 * n_repeat_words > 50 * n_words)"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -181,16 +188,56 @@ def scored(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "row string, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, cost double")
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def best_band(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
+    """Bounds of the run of bins (cost, clean, junk) with the most clean less junk documents, the longest of equal ones.
+
+    A bound lies halfway to the next labelled cost outside; it is infinite where no junk lies beyond it.
+    """
+    bins = sorted(bins)
+    best, first, last = (-1, -1), 0, len(bins) - 1
+    run, start = 0, 0
+    for i, (_, clean, junk) in enumerate(bins):
+        if run < 0:
+            run, start = 0, i
+        run += clean - junk
+        if (run, i - start) > best:
+            best, first, last = (run, i - start), start, i
+    low = (bins[first - 1][0] + bins[first][0]) / 2 if any(j for _, _, j in bins[:first]) else -math.inf
+    high = (bins[last][0] + bins[last + 1][0]) / 2 if any(j for _, _, j in bins[last + 1 :]) else math.inf
+    return low, high
+
+
+def bands_of(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """lang, low, high. Labels that contradict each other count for neither side; costs are counted in bins, a bounded number for each language."""
+    loose = rows.filter("n_words >= 50").groupBy("lang").agg(F.percentile_approx("cost", [0.1, 0.5, 0.9], 10_000).alias("q"))
+    loose = durable(loose.selectExpr("lang", "q[1] middle", f"q[1] - greatest({BAND} * (q[1] - q[0]), {FLOOR}) low", f"q[1] + greatest({BAND} * (q[2] - q[1]), {FLOOR}) high"))
+    if labels is None:
+        return loose.drop("middle")
+    told = labels.selectExpr("cast(doc_id as long) doc_id", "cast(quality as int) quality").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter("quality = most")
+    passed = rows.filter(f"not {FAILED}").select("doc_id", "lang", "cost").join(told, "doc_id").join(F.broadcast(loose.select("lang", "middle")), "lang")
+    bins = durable(passed.groupBy("lang", "middle", F.round(F.col("cost") / BIN).cast("long").alias("bin")).agg(F.count_if(F.col("quality") == 1).alias("clean"), F.count_if(F.col("quality") == 0).alias("junk"))).collect()
+    by, shifted = {}, Counter()
+    for r in bins:
+        by.setdefault(r.lang, []).append((r.bin * BIN, r.clean, r.junk))
+        shifted[round((r.bin * BIN - r.middle) / BIN), 0] += r.clean
+        shifted[round((r.bin * BIN - r.middle) / BIN), 1] += r.junk
+    pooled = best_band([(k * BIN, shifted[k, 0], shifted[k, 1]) for k in {k for k, _ in shifted}]) if shifted else (-math.inf, math.inf)
+    fitted = []
+    for r in loose.collect():
+        own = by.get(r.lang, [])
+        both = sum(x[1] for x in own) and sum(x[2] for x in own)
+        low, high = best_band(own) if both else (r.middle + pooled[0], r.middle + pooled[1])
+        fitted.append((r.lang, max(low, r.low), min(high, r.high)))
+    return rows.sparkSession.createDataFrame(fitted, "lang string, low double, high double")
+
+
+def judge(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """`labels`: doc_id, quality (1 clean, 0 junk); without them the bands are the wide ones about the median."""
     rows = durable(scored(docs))
-    bands = rows.filter("n_words >= 50").groupBy("lang").agg(F.percentile_approx("cost", [0.1, 0.5, 0.9], 10_000).alias("q"))
-    rows = rows.join(bands, "lang", "left")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    low = F.expr(f"q[1] - greatest({BAND} * (q[1] - q[0]), {FLOOR})")
-    high = F.expr(f"q[1] + greatest({BAND} * (q[2] - q[1]), {FLOOR})")
-    inside = F.coalesce(F.col("cost").between(low, high), F.lit(True))
-    return rows.select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), "cost")
+    rows = rows.join(F.broadcast(bands_of(rows, labels)), "lang", "left")
+    inside = F.coalesce(F.col("cost").between(F.col("low"), F.col("high")), F.lit(True))
+    return rows.select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(FAILED).alias("base_failed"), (~F.expr(FAILED) & inside).alias("kept"), "cost")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents")).drop("row")
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")

@@ -135,6 +135,22 @@ def test_rules(docs, none):
     assert ngrams.judge(none).count() == 0
 
 
+def test_bands_reject_labelled_junk(spark):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("aeiounrst"), 5)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, 120)) for _ in range(40)] + [" ".join("".join(rng.choice(list("aeiounrstxyz"), 5)) for _ in range(120)) for _ in range(6)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(44)] + [(5, 0)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in ngrams.judge(docs, labels).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(got[i].kept for i in range(40)) and not any(got[i].kept for i in range(40, 46))
+
+
+def test_best_band():
+    assert ngrams.best_band([(1.0, 0, 3), (2.0, 5, 0), (3.0, 1, 1), (4.0, 2, 0), (5.0, 0, 1)]) == (1.5, 4.5)
+    assert ngrams.best_band([(1.0, 4, 0), (2.0, 5, 0), (3.0, 1, 2)]) == (-np.inf, 2.5)
+
+
 def test_licenses(docs, spark):
     text = "Copyright (c) 2020 A\n" + licenses.LICENSES["MIT"].upper().replace(",", " ;")
     got = licenses.scan(spark.createDataFrame([(1, text), (2, None), (3, "mit")], "doc_id long, text string")).collect()
