@@ -2,9 +2,10 @@
 
 A character model of order ORDER with modified Kneser-Ney smoothing for each language, counted by Spark over all
 documents: tasks count n-grams of their rows, a shuffle adds counts, lower orders count the distinct characters before
-an n-gram. N-grams are hashed with their language to SLOTS slots for each order, so the sorted arrays of hashes and counts that are
-broadcast have a bounded size whatever the corpus (ORDER * SLOTS slots and contexts of 20 bytes together); counts themselves grow with the
-input. N-grams that share a slot share a count. A text's mean negative log probability per character is compared with
+an n-gram. N-grams are exact (four code points in two integers), and all tables of the model are Spark tables that grow with the
+corpus: nothing is capped and no two n-grams share a count. As every document that is scored is counted too, the cost of each
+distinct window of ORDER characters is worked out once, by joins of the orders. Up to BROADCAST_GRAMS windows, their 64-bit hashes
+and costs are broadcast as sorted arrays; above it the documents' own windows are shuffled and joined with the table. A text's mean negative log probability per character is compared with
 the band of its language: the interval of costs with the most right decisions on the labelled documents that pass the base rules (see
 `best_band`). A language without labels of both kinds takes the interval of all labels together, as distances from its median. No band is
 wider than the median plus or minus BAND times the distance from the median to the outer tenth, over all documents with words.
@@ -22,21 +23,25 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfold.llm.common import durable, plain, table
 
 #: SQL that names a row by its content.
 ROW = "md5(concat(coalesce(cast(doc_id as string), ''), ':', coalesce(cast(text as string), '')))"
-ORDER, SLOTS, BAND, FLOOR = 4, 1 << 21, 8.0, 0.35
+ORDER, BAND, FLOOR = 4, 8.0, 0.35
+#: Windows whose costs may be broadcast (12 bytes each); above it the join shuffles.
+BROADCAST_GRAMS = 4_000_000
+#: The code point that stands before the start mark, and points that are handled at once.
+PAD, STEP = 0x110000, 200_000
 #: Width of the bins in which costs of labelled documents are counted.
 BIN = 0.002
 #: What the base rules reject.
 FAILED = "(n_words < 50 or 100 * n_repeat_words > 50 * n_words)"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
-MIX = np.uint64(0x9E3779B97F4A7C15)
+MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def base_rules(text: str) -> tuple[int, int, int, int, int]:
@@ -54,138 +59,190 @@ def base_rules(text: str) -> tuple[int, int, int, int, int]:
 
 
 def codes(text: str) -> np.ndarray:
-    """Code points, white space runs as one space, after a start mark."""
-    return np.frombuffer(("\x02" + " ".join(WORD.findall(text))).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    """Code points, white space runs as one space, after ORDER - 2 pads and a start mark."""
+    points = np.frombuffer(("\x02" + " ".join(WORD.findall(text))).encode("utf-32-le"), np.uint32)
+    return np.concatenate([np.full(ORDER - 2, PAD, np.uint64), points.astype(np.uint64)])
 
 
-def hashes_of(p: np.ndarray, seed) -> np.ndarray:
-    """Slots of the rows of a matrix of code points; `seed` stands for the language."""
-    h = np.zeros(len(p), np.uint64) + np.uint64(p.shape[1]) + seed * np.uint64(16)
-    for k in range(p.shape[1]):
-        h = (h ^ p[:, k]) * MIX
-        h ^= h >> np.uint64(29)
-    return (h % np.uint64(SLOTS)).astype(np.int64)
+def pieces(points: np.ndarray):
+    """Parts of bounded size that hold each window of ORDER points once."""
+    for at in range(0, len(points) - ORDER + 1, STEP):
+        yield points[at : at + STEP + ORDER - 1]
 
 
-def hashes(points: np.ndarray, n: int, seed) -> np.ndarray:
-    """Slots of all n-grams of a text."""
-    if len(points) < n or not n:
-        return hashes_of(np.empty((len(points), 0), np.uint64), seed)
-    return hashes_of(np.lib.stride_tricks.sliding_window_view(points, n), seed)
+def packed(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of four points: the first two in one integer, the last two in another."""
+    pairs = (points[:-1] << np.uint64(21)) | points[1:]
+    return pairs[:-2], pairs[2:]
+
+
+def hashed(hi: np.ndarray, lo: np.ndarray, seed) -> np.ndarray:
+    """64-bit hashes of packed windows; `seed` stands for the language."""
+    h = (hi ^ (seed << np.uint64(32))) * MIX
+    h ^= h >> np.uint64(32)
+    h = (h ^ lo ^ seed) * MIX2
+    h ^= h >> np.uint64(29)
+    h *= MIX
+    return h ^ (h >> np.uint64(32))
 
 
 def seed_of(lang: str) -> np.uint64:
     return np.uint64(zlib.crc32(lang.encode()))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """n, side (0 n-gram, 1 context), at (slot), c, t1, t2, t3: MKN counts, full at ORDER and of continuations below, and each context's types by count."""
+def distinct_windows(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hi, lo and count of the distinct windows of all parts together; no window reaches from one part into the next."""
+    points = np.concatenate(parts)
+    alphabet = np.flatnonzero(np.bincount(points.astype(np.int64), minlength=1)).astype(np.uint64)
+    if len(alphabet) > 1 << 16:
+        return tuple(np.concatenate(x) for x in zip(*(distinct_windows([p[k : k + 60_003]]) for p in parts for k in range(0, len(p) - ORDER + 1, 60_000)), strict=True))
+    place = np.zeros(int(alphabet[-1]) + 1, np.uint64)
+    place[alphabet.astype(np.int64)] = np.arange(len(alphabet), dtype=np.uint64)
+    x = place[points.astype(np.int64)]
+    pairs = (x[:-1] << np.uint64(16)) | x[1:]
+    inside = np.ones(len(points), bool)
+    for end in np.cumsum([len(p) for p in parts]):
+        inside[max(end - ORDER + 1, 0) : end] = False
+    keys, c = np.unique(((pairs[:-2] << np.uint64(32)) | pairs[2:])[inside[: len(points) - ORDER + 1]], return_counts=True)
+    a, b, y, z = (alphabet[((keys >> np.uint64(k)) & np.uint64(0xFFFF)).astype(np.int64)] for k in (48, 32, 16, 0))
+    return (a << np.uint64(21)) | b, (y << np.uint64(21)) | z, c
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.selectExpr(f"{ROW} row", "cast(doc_id as long) doc_id", "coalesce(cast(lang as string), '') lang", "cast(text as string) text")
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """lang, hi, lo, c: the distinct windows of all documents with their counts, null where pads stand before the start mark."""
 
-    def grams(frames):
+    def count(frames):
         for frame in frames:
             for lang, texts in frame.groupby("lang")["text"]:
-                full = Counter()
-                for text in texts:
-                    p = codes(plain(text))
-                    for at in range(0, max(1, len(p) - ORDER + 1), 200_000):
-                        part = p[at : at + 200_000 + ORDER - 1].astype(np.uint32)
-                        if len(part) >= ORDER:
-                            rows, c = np.unique(np.lib.stride_tricks.sliding_window_view(part, ORDER), axis=0, return_counts=True)
-                            full.update(dict(zip(map(bytes, rows), c.tolist(), strict=True)))
-                    if len(full) > 300_000:
-                        yield pd.DataFrame({"lang": lang, "gram": list(full), "c": list(full.values())})
-                        full.clear()
-                yield pd.DataFrame({"lang": lang, "gram": list(full), "c": list(full.values())})
-
-    rows = docs.selectExpr("coalesce(cast(lang as string), '') lang", "cast(text as string) text").mapInPandas(grams, "lang string, gram binary, c long")
-    top = rows.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-
-    def place(n):
-        @F.pandas_udf("slot long, context long")
-        def slot(lang: pd.Series, gram: pd.Series) -> pd.DataFrame:
-            p = np.frombuffer(b"".join(gram), np.uint32).astype(np.uint64).reshape(len(gram), n)
-            seed = lang.map(lambda x: zlib.crc32(x.encode())).to_numpy(np.uint64)
-            return pd.DataFrame({"slot": hashes_of(p, seed), "context": hashes_of(p[:, :-1], seed)})
-
-        return slot
-
-    level, out = durable(top), None
-    for n in range(ORDER, 0, -1):
-        placed = level.select(place(n)("lang", "gram").alias("p"), "c").groupBy("p.slot", "p.context").agg(F.sum("c").alias("c"))
-        types = [F.count_if(F.col("c") == k).alias(f"t{k}") for k in (1, 2)] + [F.count_if(F.col("c") >= 3).alias("t3")]
-        zero = [F.lit(0).cast("long").alias(f"t{k}") for k in (1, 2, 3)]
-        rows = placed.groupBy(F.lit(n).alias("n"), F.lit(0).alias("side"), F.col("slot").alias("at")).agg(F.sum("c").alias("c"), *zero)
-        rows = rows.unionByName(placed.groupBy(F.lit(n).alias("n"), F.lit(1).alias("side"), F.col("context").alias("at")).agg(F.sum("c").alias("c"), *types))
-        out = rows if out is None else out.unionByName(rows)
-        level = level.groupBy("lang", F.expr("substring(gram, 5)").alias("gram")).agg(F.count("*").alias("c"))
-    return out
-
-
-class Model:
-    """Sorted arrays: per order, slots with discounted counts, and contexts with totals and back-off weights."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.levels = []
-        for n in range(1, ORDER + 1):
-            r = rows[(rows.n == n) & (rows.side == 0)].sort_values("at")
-            x = rows[(rows.n == n) & (rows.side == 1)].sort_values("at")
-            c = r.c.to_numpy(np.int64)
-            n1, n2, n3, n4 = (max(1.0, float((c == k).sum())) for k in (1, 2, 3, 4))
-            y = n1 / (n1 + 2 * n2)
-            cuts = np.clip([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.1, 0.2, 0.3], [0.0, 0.9, 1.8, 2.7])
-            total = np.maximum(x.c.to_numpy(np.float64), 1.0)
-            held_back = x.t1.to_numpy() * cuts[1] + x.t2.to_numpy() * cuts[2] + x.t3.to_numpy() * cuts[3]
-            self.levels.append((r["at"].to_numpy(np.uint32), (c - cuts[np.minimum(c, 3)]).astype(np.float32), x["at"].to_numpy(np.uint32), total.astype(np.float32), (held_back / total).astype(np.float32)))
-
-    def cost(self, points: np.ndarray, lang: str) -> float:
-        """Mean negative log probability of each character after the first, in pieces of bounded size."""
-        if len(points) < 2:
-            return 0.0
-        total, step = 0.0, 200_000
-        for at in range(0, len(points) - 1, step):
-            back = min(at, ORDER - 2)
-            total += self.piece(points[at - back : at + step + 1], seed_of(lang))[back:].sum()
-        return float(total / (len(points) - 1))
-
-    def piece(self, points: np.ndarray, seed) -> np.ndarray:
-        m = len(points)
-        p = np.full(m - 1, 1.0 / 50_000)
-        for n in range(1, min(ORDER, m) + 1):
-            skip = max(n - 2, 0)
-            grams = hashes(points, n, seed)[0 if n > 1 else 1 :]
-            context = hashes(points, n - 1, seed)[0 if n > 1 else 1 :][: len(grams)]
-            slots, left, contexts, total, weight = self.levels[n - 1]
-            if not len(slots):
-                continue
-            i = np.minimum(np.searchsorted(contexts, context.astype(np.uint32)), len(contexts) - 1)
-            known = contexts[i] == context
-            j = np.minimum(np.searchsorted(slots, grams.astype(np.uint32)), len(slots) - 1)
-            have = np.where(slots[j] == grams, left[j], 0.0)
-            mixed = have / total[i] + weight[i] * p[skip:]
-            p[skip:] = np.where(known, np.minimum(mixed, 1.0), p[skip:])
-        return -np.log(np.maximum(p, 1e-12))
-
-
-def model(docs: DataFrame) -> Model:
-    return Model(counted(docs).toPandas())
+                parts, held = [], 0
+                for part in (x for t in texts for x in pieces(codes(plain(t)))):
+                    parts.append(part)
+                    held += len(part)
+                    if held > 1_000_000:
+                        yield table_of(lang, parts)
+                        parts, held = [], 0
+                if parts:
+                    yield table_of(lang, parts)
+
+    def table_of(lang, parts):
+        hi, lo, c = distinct_windows(parts)
+        return pd.DataFrame({"lang": lang, "hi": hi.astype(np.int64), "lo": lo.astype(np.int64), "c": c})
+
+    rows = texts_of(docs).select("lang", "text").mapInPandas(count, "lang string, hi long, lo long, c long")
+    return rows.groupBy("lang", "hi", "lo").agg(F.sum("c").alias("c")).withColumn("c", F.when(F.shiftright("hi", 21) != PAD, F.col("c")))
+
+
+def costs(docs: DataFrame) -> DataFrame:
+    """lang, hi, lo, cost: the negative log probability of the last character of each distinct window, given the others."""
+    low = (1 << 21) - 1
+    table = durable(windows(docs)).selectExpr("lang", *(f"{x} {a}" for a, x in zip("abyz", ("shiftright(hi, 21)", f"hi & {low}", "shiftright(lo, 21)", f"lo & {low}"), strict=True)), "c")
+    levels = {ORDER: table}
+    for n in range(ORDER - 1, 0, -1):
+        seen = F.count("c")
+        levels[n] = durable(levels[n + 1].groupBy("lang", *"abyz"[ORDER - n :]).agg(F.when(seen > 0, seen).alias("c")))
+    counts = None
+    for n, level in levels.items():
+        part = level.agg(F.lit(n).alias("n"), *(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)))
+        counts = part if counts is None else counts.unionByName(part)
+    cuts = {}
+    for r in counts.collect():
+        n1, n2, n3, n4 = (max(1.0, float(x)) for x in r[1:])
+        y = n1 / (n1 + 2 * n2)
+        cuts[r.n] = np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0.1, 0.2, 0.3], [0.9, 1.8, 2.7]).tolist()
+    types = [F.count_if(F.col("c") == k) for k in (1, 2)] + [F.count_if(F.col("c") >= 3)]
+    below = None
+    for n in range(1, ORDER + 1):
+        cut = cuts[n]
+        context = ["lang", *"abyz"[ORDER - n : ORDER - 1]]
+        back = sum(F.lit(d) * t for d, t in zip(cut, types, strict=True))
+        level = levels[n]
+        if n == 1:
+            # a few rows for each language; joined, so that no task takes a whole language
+            level = level.join(F.broadcast(level.groupBy("lang").agg(F.sum("c").alias("total"), back.alias("back"))), "lang").withColumn("p", F.lit(1.0 / 50_000))
+        else:
+            w = Window.partitionBy(*context)
+            held = sum(F.lit(d) * t.over(w) for d, t in zip(cut, types, strict=True))
+            level = level.select("*", F.sum("c").over(w).alias("total"), held.alias("back")).join(below, ["lang", *"abyz"[ORDER - n + 1 :]])
+        own = F.coalesce(F.col("c") - F.when(F.col("c") == 1, cut[0]).when(F.col("c") == 2, cut[1]).otherwise(cut[2]), F.lit(0.0))
+        mixed = F.least((own + F.col("back") * F.col("p")) / F.col("total"), F.lit(1.0))
+        below = level.select("lang", *"abyz"[ORDER - n :], F.when(F.col("total").isNull(), F.col("p")).otherwise(mixed).alias("p"))
+    return below.selectExpr("lang", "shiftleft(a, 21) | b hi", "shiftleft(y, 21) | z lo", "-ln(greatest(p, 1e-12D)) cost")
+
+
+class Lookup:
+    """Sorted hashes with costs, entered by their leading bits."""
+
+    def __init__(self, keys: np.ndarray, cost: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.cost = keys[order], cost[order]
+        bits = max(1, min(28, len(keys).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.start[(keys >> self.shift).astype(np.int64)]
+        late = np.flatnonzero(self.keys[at] < keys)
+        while len(late):
+            at[late] += 1
+            late = late[self.keys[at[late]] < keys[late]]
+        return self.cost[at]
+
+    def mean(self, text: str, lang: str) -> float:
+        """Mean cost of a text's characters."""
+        points = codes(text)
+        n = len(points) - ORDER + 1
+        return float(sum(self(hashed(*packed(p), seed_of(lang))).sum(dtype=np.float64) for p in pieces(points)) / n) if n > 0 else 0.0
+
+
+def lookup(table: DataFrame) -> Lookup:
+    @F.pandas_udf("long")
+    def key(lang: pd.Series, hi: pd.Series, lo: pd.Series) -> pd.Series:
+        seeds = lang.map({x: int(seed_of(x)) for x in lang.unique()}).to_numpy(np.uint64)
+        return pd.Series(hashed(hi.to_numpy(np.uint64), lo.to_numpy(np.uint64), seeds).view(np.int64))
+
+    got = table.select(key("lang", "hi", "lo").alias("key"), F.col("cost").cast("float")).toArrow()
+    return Lookup(got["key"].to_numpy().view(np.uint64), got["cost"].to_numpy())
+
+
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, base columns and `cost` of each row."""
-    held = docs.sparkSession.sparkContext.broadcast(model(docs))
+    """row, doc_id, lang, base columns and `cost` of each row."""
+    table = durable(costs(docs))
+    small = table.count() <= BROADCAST_GRAMS
+    held = docs.sparkSession.sparkContext.broadcast(lookup(table) if small else None)
 
     def run(frames):
         for f in frames:
             texts = [plain(t) for t in f.text]
-            base = pd.DataFrame([base_rules(t) for t in texts], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], dtype="int64")
+            base = pd.DataFrame([base_rules(t) for t in texts], columns=BASE, dtype="int64")
             base.insert(0, "row", f.row.to_numpy())
             base.insert(1, "doc_id", f.doc_id.to_numpy())
             base.insert(2, "lang", f.lang.to_numpy())
-            base["cost"] = [held.value.cost(codes(t), a) for a, t in zip(f.lang, texts, strict=True)]
+            base["cost"] = [held.value.mean(t, a) for a, t in zip(f.lang, texts, strict=True)] if small else 0.0
             yield base
 
-    rows = docs.selectExpr(f"{ROW} row", "cast(doc_id as long) doc_id", "coalesce(cast(lang as string), '') lang", "cast(text as string) text")
-    return rows.mapInPandas(run, "row string, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, cost double")
+    rows = texts_of(docs).mapInPandas(run, "row string, doc_id long, lang string, " + ", ".join(f"{c} long" for c in BASE) + ", cost double")
+    if small:
+        return rows
+    own = texts_of(docs).mapInPandas(own_windows, "row string, lang string, hi long, lo long, c long").join(table, ["lang", "hi", "lo"])
+    # equal rows count their windows twice on both sides of the division
+    own = own.groupBy("row", "lang").agg((F.sum(F.col("c") * F.col("cost")) / F.sum("c")).alias("own"))
+    return rows.join(own, ["row", "lang"], "left").withColumn("cost", F.coalesce("own", F.lit(0.0))).select("row", "doc_id", "lang", *BASE, "cost")
+
+
+def own_windows(frames):
+    """row, lang and the distinct windows of each text with their counts."""
+    for f in frames:
+        for row, lang, text in zip(f.row, f.lang, f.text, strict=True):
+            for part in pieces(codes(plain(text))):
+                hi, lo, c = distinct_windows([part])
+                yield pd.DataFrame({"row": row, "lang": lang, "hi": hi.astype(np.int64), "lo": lo.astype(np.int64), "c": c})
 
 
 def best_band(bins: list[tuple[float, int, int]]) -> tuple[float, float]:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -151,6 +152,48 @@ def test_best_band():
     assert ngrams.best_band([(1.0, 4, 0), (2.0, 5, 0), (3.0, 1, 2)]) == (-np.inf, 2.5)
 
 
+def brute_cost(texts, text):
+    """Mean cost of a text under the model of `texts`, by the formula, on dictionaries."""
+    levels = {4: Counter(x[i : i + 4] for x in texts for i in range(len(x) - 3))}
+    for n in (3, 2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / 50_000
+        level = levels[n]
+        n1, n2, n3, n4 = (max(1, sum(c == k for c in level.values())) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        cut = [0, *np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0.1, 0.2, 0.3], [0.9, 1.8, 2.7])]
+        after = [c for g, c in level.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        c = level[gram]
+        return min(1, (c - cut[min(c, 3)] + sum(cut[min(x, 3)] for x in after) * p(gram[1:])) / sum(after))
+
+    return np.mean([-np.log(max(p(text[max(0, i - 3) : i + 1]), 1e-12)) for i in range(1, len(text))])
+
+
+def test_model_is_exact_by_both_ways(spark, monkeypatch):
+    texts = ["abracadabra abra", "a cadabra", "x", "ab", "\U0001f600 abra \u4e00\u4e01", "abracadabra abra"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(10, "", "en"), (11, None, "en")], "doc_id long, text string, lang string")
+    marked = ["\x02" + t for t in texts]
+    for limit in (ngrams.BROADCAST_GRAMS, 0):
+        monkeypatch.setattr(ngrams, "BROADCAST_GRAMS", limit)
+        got = {r.doc_id: r.cost for r in ngrams.scored(docs).collect()}
+        assert all(abs(got[i] - brute_cost(marked, t)) < 1e-5 for i, t in enumerate(marked))
+        assert got[10] == got[11] == 0
+
+
+def test_every_ngram_has_its_own_count(spark):
+    # more distinct n-grams than the 2^21 slots that orders once had
+    points = np.random.default_rng(2).integers(0x4E00, 0x9FA0, (600, 4000)).astype(np.uint32)
+    docs = spark.createDataFrame([(i, bytes(p).decode("utf-32-le"), "zh") for i, p in enumerate(points)], "doc_id long, text string, lang string")
+    points = np.insert(points, 0, 2, 1)
+    assert ngrams.windows(docs).filter("c is not null").count() == len(np.unique(np.lib.stride_tricks.sliding_window_view(points, 4, 1).reshape(-1, 4), axis=0)) > 1 << 21
+
+
 def test_licenses(docs, spark):
     text = "Copyright (c) 2020 A\n" + licenses.LICENSES["MIT"].upper().replace(",", " ;")
     got = licenses.scan(spark.createDataFrame([(1, text), (2, None), (3, "mit")], "doc_id long, text string")).collect()
