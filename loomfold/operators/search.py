@@ -1,37 +1,48 @@
-"""Retrieval: BM25 over postings and exact dense top-k (H1, H5)."""
+"""Retrieval: BM25 over postings and exact dense top-k (H1, H5), for a few queries or for every row divisible by EACH."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+#: Every row whose id is divisible by EACH is a query; rows and queries that meet at once.
+EACH, ROWS, QUERIES = 50, 4096, 512
 
 
 def sample_queries():
     return [(1, "released under the mit license"), (2, "password secret token"), (3, "erinst de la")]
 
 
+def all_queries(docs: DataFrame) -> DataFrame:
+    """query_id, query: the texts of the documents whose id is divisible by EACH."""
+    return docs.filter(F.col("doc_id") % EACH == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def tokens(text):
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, few: bool = True) -> DataFrame:
     """query_id, doc_id, score, rank of the best `k` documents of each query; scores are negative, the lowest is best.
 
     A term that half of the documents or more hold counts 1e-6.
-    Only postings of the queries' terms leave the scan: the terms are joined before anything is grouped.
+    Only postings of the queries' terms leave the scan: the terms are joined before anything is grouped. `few`: the queries
+    are a small, given set, so their terms are broadcast.
     """
+    hint = F.broadcast if few else lambda x: x
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     sized = docs.select("doc_id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
     totals = sized.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    hits = sized.select("doc_id", "dl", F.explode("t").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term")
+    hits = sized.select("doc_id", "dl", F.explode("t").alias("term")).join(hint(terms.select("term").distinct()), "term")
     postings = hits.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     odds = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(odds > 0, odds).otherwise(1e-6)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    scored = postings.join(df, "term").crossJoin(F.broadcast(totals)).join(F.broadcast(terms), "term").groupBy("query_id", "doc_id").agg(F.round(-F.sum(part), 6).alias("score"))
+    scored = postings.join(df, "term").crossJoin(F.broadcast(totals)).join(hint(terms), "term").groupBy("query_id", "doc_id").agg(F.round(-F.sum(part), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy("score", "doc_id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
@@ -50,3 +61,44 @@ def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     pairs = pairs.select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("qv")) / (F.col("l") * F.col("ql")), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+
+
+def dense_top_k_blocks(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """As dense_top_k, for queries whose number grows: blocks of both meet, and each pair of blocks gives k rows for a query.
+
+    Null, empty and zero vectors take no part; all vectors have one length.
+    """
+
+    def blocks(df, name, size):
+        def pack(frames):
+            for f in frames:
+                for at in range(0, len(f), size):
+                    part = f.iloc[at : at + size]
+                    v = np.array(part.embedding.tolist(), np.float64)
+                    v /= np.linalg.norm(v, axis=1)[:, None]
+                    yield pd.DataFrame({f"{name}_ids": [part.vec_id.to_numpy(np.int64).tobytes()], name: [v.tobytes()]})
+
+        rows = df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter("exists(embedding, x -> x <> 0) and forall(embedding, x -> x is not null)")
+        return rows.mapInPandas(pack, f"{name}_ids binary, {name} binary")
+
+    def best(frames):
+        for f in frames:
+            for ids, c, query_ids, q in zip(f.c_ids, f.c, f.q_ids, f.q, strict=True):
+                ids, query_ids = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
+                order = np.argsort(ids, kind="stable")
+                ids = ids[order]
+                scores = np.round(np.frombuffer(q).reshape(len(query_ids), -1) @ np.frombuffer(c).reshape(len(ids), -1)[order].T, 6)
+                out = []
+                for query_id, row in zip(query_ids, scores, strict=True):
+                    row[ids == query_id] = -np.inf
+                    least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                    # ties go by id, and ids ascend
+                    at = np.flatnonzero((row >= least) & (row > -np.inf))
+                    at = at[np.argsort(-row[at], kind="stable")][:k]
+                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at], "score": row[at] + 0.0}))
+                yield pd.concat(out)
+
+    pairs = blocks(corpus, "c", ROWS).crossJoin(blocks(queries, "q", QUERIES))
+    found = pairs.mapInPandas(best, "query_id long, vec_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)

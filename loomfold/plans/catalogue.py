@@ -76,6 +76,9 @@ def queries() -> dict:
         "s4_lease": lambda s, d: queue.lease(events(s, d), 100),
         "s18_batches": lambda s, d: queue.batches(docs(s, d)),
         "h5_dense_top_k": lambda s, d: search.dense_top_k(embeddings(s, d), embeddings(s, d).filter("vec_id < 20"), 10),
+        "h1_bm25_search_all": lambda s, d: search.bm25(docs(s, d), search.all_queries(docs(s, d)), 30, few=False),
+        "h3_tfidf_search_all": lambda s, d: ranking.tfidf(docs(s, d), search.all_queries(docs(s, d)), 30),
+        "h5_dense_top_k_all": lambda s, d: search.dense_top_k_blocks(embeddings(s, d), embeddings(s, d).filter(F.col("vec_id") % search.EACH == 0), 10),
     }
 
 

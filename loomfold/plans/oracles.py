@@ -67,4 +67,27 @@ SQL = {
     "s3_enqueue": "select doc_id as key, case lang when 'fr' then 2 else 1 end::bigint as generation, case lang when 'en' then 'done' else 'pending' end as status from documents where lang in ('en', 'fr', 'de')",
     "s4_lease": "select event_id from events where event_type = 'signup' order by event_id limit 100",
     "s18_batches": "select doc_id, cast(floor((row_number() over (partition by source order by doc_id) - 1) / 75) as bigint) as batch from documents",
+    "h1_bm25_search_all": r"""with t as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as t from documents),
+        n as (select count(*) as n_docs, avg(len(t)) as avg_dl from t),
+        q as (select doc_id as query_id, lower(text) as query from documents where doc_id % 50 = 0),
+        terms as (select distinct query_id, unnest(regexp_extract_all(query, '[\p{L}\p{N}]+')) as term from q),
+        words as (select doc_id, len(t) as dl, unnest(t) as term from t),
+        p as (select term, doc_id, dl, count(*) as tf from words where term in (select term from terms) group by all),
+        d as (select term, count(*) as df from p group by term),
+        s as (select query_id, doc_id, round(-sum(case when n_docs > 2 * df then ln((n_docs - df + 0.5) / (df + 0.5)) else 1e-6 end * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_dl))), 6) as score from p join d using (term) join terms using (term), n group by query_id, doc_id)
+        select query_id, doc_id, score, row_number() over (partition by query_id order by score, doc_id) as rank from s qualify rank <= 30""",
+    "h3_tfidf_search_all": r"""with words as (select source as section, doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) as term from documents),
+        tf as (select section, doc_id, term, count(*) as tf from words group by all), sizes as (select source as section, count(*) as n from documents group by all),
+        ranked as (select section, term, count(*) as df, row_number() over (partition by section order by sum(tf) desc, term) as place from tf group by section, term),
+        terms as (select section, term, ln((1 + n) / (1 + df)) + 1 as idf from ranked join sizes using (section) where place <= 10000),
+        w as (select section, doc_id, term, tf * idf as x from tf join terms using (section, term)), norms as (select section, doc_id, sqrt(sum(x * x)) as norm from w group by all),
+        q as (select doc_id as query_id, lower(text) as query from documents where doc_id % 50 = 0),
+        qt as (select query_id, unnest(regexp_extract_all(query, '[\p{L}\p{N}_]{2,}')) as term from q), qc as (select query_id, term, count(*) as q_tf from qt group by all),
+        asked as (select query_id, section, term, q_tf * idf as y from qc join terms using (term)), q_norms as (select query_id, section, sqrt(sum(y * y)) as q_norm from asked group by all),
+        dots as (select query_id, section, doc_id, sum(x * y) as dot from w join asked using (section, term) group by all),
+        s as (select query_id, section, doc_id, round(dot / (norm * q_norm), 6) as score from dots join norms using (section, doc_id) join q_norms using (query_id, section))
+        select query_id, section, doc_id, score from s qualify row_number() over (partition by query_id, section order by score desc, doc_id) <= 30""",
+    "h5_dense_top_k_all": r"""with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
+        s as (select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(c.v, q.v), 6) as score from e q join e c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+        select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from s qualify rank <= 10""",
 }
