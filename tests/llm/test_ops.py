@@ -4,6 +4,8 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from importlib import metadata
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -200,6 +202,21 @@ def test_licenses(docs, spark):
     assert {r.doc_id: r.license for r in got} == {1: "MIT", 2: None, 3: None}
 
 
+def test_license_files(spark):
+    mit, isc = licenses.LICENSES["MIT"], licenses.LICENSES["ISC"]
+    cases = [(f"MIT License\n\nCopyright (c) 2020 Jane Doe\n\n{mit}", "MIT"), (f"The MIT License (MIT)\n\nCopyright (c) Acme Inc. 2025 to present\n\n{mit}", "MIT"), (f"Copyright 2018-2026 Acme\n{mit}", "MIT"),
+             (f"MIT License Copyright (c) 2020 Jane Doe {mit}", "MIT"), (f"ISC License\n\nCopyright Jane Doe <jane@example.org>\n\n{isc}", "ISC"), (f"(c) 2020 A. All rights reserved. {isc}", "ISC"),
+             (mit.replace("The above copyright", "The above\ncopyright"), "MIT"), (f"Copyright (c) 2020 A. {mit} And no more.", None), (mit[:-200], None)]
+    folder = metadata.distribution("pyspark").locate_file("")
+    for name, pattern in {"MIT": "tiktoken*/**/LICENSE", "BSD-3-Clause": "psutil*/**/LICENSE", "BSD-2-Clause": "pygments*/**/LICENSE", "Apache-2.0": "requests*/**/LICENSE"}.items():
+        cases += [(f.read_text(), name) for f in Path(folder).glob(pattern)]
+    for name, file in {"GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "MPL-2.0": "MPL-2.0", "BSD-3-Clause": "BSD", "Apache-2.0": "Apache-2.0"}.items():
+        cases += [(f.read_text(), name) for f in Path("/usr/share/common-licenses").glob(file)]
+    cases += [(cases[-1][0].partition("APPENDIX")[0], "Apache-2.0")] if cases[-1][1] == "Apache-2.0" else []
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(cases)}
+
+
 def test_token_counts(docs, none, library):
     for r in transducer.count_tokens(docs).collect():
         t = "a b c" if r.doc_id is None else TEXTS[r.doc_id] or ""
