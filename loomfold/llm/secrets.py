@@ -4,10 +4,10 @@ Positions come from cutting a text at a pattern's matches: the lengths of the pi
 spans in code points. Patterns: see BASE; the span of a match is the whole match.
 
 The battery looks at tokens of 20 or more characters of `[A-Za-z0-9+/_=-]` that hold a digit. Their encoding is inferred
-(hex, base32 or base64, which sets the alphabet). Under the hypothesis that characters are uniform, chi-squared, runs about the
+(hex of either case, with dashes or without, base32, base62 or base64, which sets the alphabet; see ENCODINGS). Under the hypothesis that characters are uniform, chi-squared, runs about the
 alphabet's middle and lag-1 serial correlation each give a p value; a token stays a candidate if none, with Bonferroni's factor
-three, is below BATTERY_ALPHA. Under the hypothesis of ordinary text the coincidence of characters is higher: the p value of
-so low a coincidence enters a weighted Benjamini-Hochberg procedure over all tokens of the document, whose weights grow with the
+three, is below BATTERY_ALPHA. Under the hypothesis of ordinary text the coincidence of characters is higher, and letters change
+to digits or a new word begins less often: the p value of both together (the sum of their z values) enters a weighted Benjamini-Hochberg procedure over all tokens of the document, whose weights grow with the
 token's length (mean one), at FALSE_DISCOVERY. Spans of kind `random` are what both steps keep.
 
 Defined results: a null text is an empty one; each row gives one row; further columns are ignored.
@@ -27,9 +27,19 @@ BASE = [
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 BATTERY_ALPHA, FALSE_DISCOVERY = 0.001, 0.01
 HEX, BASE32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
-#: Coincidence of characters in ordinary text (letters of one case with some of another class).
-TEXT_COINCIDENCE = 0.06
+BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+BASE64 = BASE62 + "+/-_="
+#: Pattern, alphabet, coincidence of characters in ordinary text that fits the pattern and the variance it has besides pair sampling
+#: (4 / n of the next figure), and how often a letter or digit of such text begins a new run (see RUN): less often where there is one case. Text of hex letters and digits is mostly digits (1/10, even); other text has letters' frequencies.
+ENCODINGS = [
+    ("[0-9a-f]+(-[0-9a-f]+)*", HEX, 0.1, 0.0, 0.08),
+    ("[0-9A-F]+(-[0-9A-F]+)*", HEX.upper(), 0.1, 0.0, 0.08),
+    ("[A-Z2-7]+=*", BASE32, 0.06, 0.0012, 0.08),
+    ("[A-Za-z0-9]+", BASE62, 0.06, 0.0012, 0.15),
+    ("[^ ]+", BASE64, 0.06, 0.0012, 0.15),
+]
+#: Runs: digits, a lower-case word, or a word with capitals before it.
+RUN = "[0-9]+|[A-Z]+[a-z]*|[a-z]+"
 
 
 def _sql(pattern: str) -> str:
@@ -58,10 +68,14 @@ def _phi(z: str) -> str:
 
 
 def _token_stats() -> str:
-    """SQL over a span x: its p value as text, and its smallest p value in the battery."""
-    alphabet = f"if(not regexp_like(x.body, '[^0-9a-f]'), '{HEX}', if(not regexp_like(x.body, '[^A-Z2-7]'), '{BASE32}', '{BASE64}'))"
+    """SQL over the spans: of each token its length, encoding, characters and runs. Dashes of hex and padding do not count."""
+    form = "case " + " ".join(f"when regexp_like(x.body, '^({pattern})$') then struct('{letters}' as letters, {null}D as null_c, {more}D as more, {rate}D as rate)" for pattern, letters, null, more, rate in ENCODINGS) + " end"
+    bare = "if(length(y.form.letters) = 16, replace(y.x.body, '-', ''), rtrim('=', y.x.body))"
     return (
-        f"transform(spans, x -> struct(x as span, length(x.body) as n, {alphabet} as letters, split(x.body, '') as chars))"
+        f"transform(transform(transform(spans, x -> struct(x as x, {form} as form)),"
+        f" y -> struct(y.x as x, y.form as form, if(length({bare}) >= 20, {bare}, y.x.body) as body)),"
+        " y -> struct(y.x as span, y.body as body, length(y.body) as n, y.form.letters as letters, y.form.null_c as null_c, y.form.more as more, y.form.rate as rate, split(y.body, '') as chars,"
+        f" length(regexp_replace(y.body, '[^A-Za-z0-9]', '')) as m, size(regexp_extract_all(regexp_replace(y.body, '[^A-Za-z0-9]', ''), '{RUN}', 0)) as starts))"
     )
 
 
@@ -71,15 +85,15 @@ def tokens_with_tests(spans: DataFrame) -> DataFrame:
     step = step.withColumn(
         "t",
         F.expr(
-            "transform(t, x -> struct(x.span as span, x.n as n, if(length(x.letters) > 64, 64, length(x.letters)) as k,"
-            " aggregate(transform(array_distinct(x.chars), c -> cast(x.n - length(replace(x.span.body, c, '')) as double)), 0D, (s, v) -> s + v * v) as squares,"
+            "transform(t, x -> struct(x.span as span, x.null_c as null_c, x.more as more, x.rate as rate, x.m as m, x.starts as starts, x.n as n, if(length(x.letters) > 64, 64, length(x.letters)) as k,"
+            " aggregate(transform(array_distinct(x.chars), c -> cast(x.n - length(replace(x.body, c, '')) as double)), 0D, (s, v) -> s + v * v) as squares,"
             " transform(x.chars, c -> cast(instr(x.letters, c) as double)) as v))"
         ),
     )
     step = step.withColumn(
         "t",
         F.expr(
-            "transform(t, x -> struct(x.span as span, x.n as n, x.k as k, x.squares as squares,"
+            "transform(t, x -> struct(x.span as span, x.null_c as null_c, x.more as more, x.rate as rate, x.m as m, x.starts as starts, x.n as n, x.k as k, x.squares as squares,"
             " aggregate(zip_with(slice(x.v, 1, x.n - 1), slice(x.v, 2, x.n - 1), (a, b) -> if((a * 2 <= x.k) = (b * 2 <= x.k), 0D, 1D)), 1D, (s, y) -> s + y) as runs,"
             " aggregate(x.v, 0D, (s, y) -> s + if(y * 2 <= x.k, 1D, 0D)) as low,"
             " aggregate(zip_with(slice(x.v, 1, x.n - 1), slice(x.v, 2, x.n - 1), (a, b) -> (a - (x.k + 1) / 2D) * (b - (x.k + 1) / 2D)), 0D, (s, y) -> s + y) as lag,"
@@ -92,7 +106,10 @@ def tokens_with_tests(spans: DataFrame) -> DataFrame:
     z_runs = f"(x.runs - {mean_runs}) / sqrt(greatest(({mean_runs} - 1) * ({mean_runs} - 2) / (x.n - 1), 0.25D))"
     z_lag = "x.lag / greatest(x.spread, 1D) * sqrt(x.n)"
     coincidence = "((x.squares - x.n) / (x.n * (x.n - 1D)))"
-    z_text = f"({coincidence} - if(x.k = 16, 0.09D, {TEXT_COINCIDENCE}D)) / sqrt(2D * {TEXT_COINCIDENCE} / (x.n * (x.n - 1D)))"
+    z_coincidence = f"({coincidence} - x.null_c) / sqrt(2D * x.null_c * (1 - x.null_c) / (x.n * (x.n - 1D)) + 4 * x.more / x.n)"
+    # half a switch is taken off for continuity
+    z_switches = f"(x.starts - 1.5D - x.rate * (x.m - 1)) / sqrt(x.rate * (1 - x.rate) * greatest(x.m - 1, 1))"
+    z_text = f"({z_coincidence} - {z_switches}) / sqrt(2D)"
     return step.withColumn(
         "tests",
         F.expr(

@@ -75,6 +75,20 @@ def test_secrets(docs, none):
     assert by[0] is None and "abcdefgh12345" not in by[5] and len(by[5]) == len(TEXTS[5]) and by[4] == TEXTS[4]
 
 
+def test_secrets_of_every_encoding(spark):
+    draw = np.random.default_rng(11).choice
+    low, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = {"HEX": (low.upper(), 32, 0.9), "uuid": (low, 32, 0.9), "hex": (low, 24, 0.85), "base32": (upper + "234567", 32, 0.75), "base62": (upper + upper.lower() + low[:10], 24, 0.85)}
+    rows = [(k, "".join(draw(list(letters), n))) for k, (letters, n, _) in kinds.items() for _ in range(100)]
+    rows = [(k, "-".join((t[:8], t[8:12], t[12:16], t[16:20], t[20:])) if k == "uuid" else t) for k, t in rows if re.search("[0-9]", t)]
+    rows += [("text", t) for t in ("chapter-section-release-2024", "SUMMARY_NETWORK_UPDATE_42", "2024-01-12-garden-market", "202401120000123456789", "PersonHistoryLanguage7", "=" * 20 + "1")]
+    got = {r.doc_id: r.spans for r in secrets.digests(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    for k, (_, _, least) in kinds.items():
+        own = [got[i] == f"random:0:{len(t)}" for i, (x, t) in enumerate(rows) if x == k]
+        assert np.mean(own) >= least, k
+    assert not any(got[i] for i, (k, _) in enumerate(rows) if k == "text")
+
+
 def test_minhash(docs, none):
     got = {r.doc_id: r for r in minhash.link(docs).collect()}
     assert got[10].component_id == got[9].component_id == got[8].component_id == 8
