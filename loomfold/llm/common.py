@@ -16,17 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of our own only on a local master where none is set."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="loomfold-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in spark.checkpoint.dir; a folder of our own only on a local master where none is set."""
+    """Cut the lineage with a checkpoint in the shared folder."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="loomfold-checkpoint-")
-        sc.setCheckpointDir(folder)
+    folder = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -67,6 +74,40 @@ def encoder(path: str | None = None):
     return _ENCODERS[path]
 
 
+def whole_groups(batches, keys: list[str], rows: int = 16_384, size: int = 64 << 20):
+    """Tables of at least `rows` rows or `size` bytes (but the last) that hold whole groups, and the row where each group begins.
+
+    The batches come sorted by `keys`, or at least with equal keys side by side. Memory is that and one group.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def starts(table):
+        change = np.zeros(table.num_rows, bool)
+        change[:1] = True
+        for k in keys:
+            x = table.column(k).to_numpy()
+            change[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(change)
+
+    held, n, weight = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        weight += batch.nbytes
+        if n >= rows or weight >= size:
+            table = pa.Table.from_batches(held).combine_chunks()
+            at = starts(table)
+            if len(at) > 1:
+                yield table.slice(0, at[-1]), at[:-1]
+            rest = table.slice(at[-1])
+            # a group larger than the bounds is waited for
+            held, n, weight = rest.to_batches(), rest.num_rows if len(at) > 1 else 0, rest.nbytes if len(at) > 1 else 0
+    if sum(batch.num_rows for batch in held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, starts(table)
+
+
 def plain(text: str | None) -> str:
     """Null texts count as empty; lone surrogates cannot occur in Spark strings."""
     return text or ""
@@ -76,6 +117,14 @@ def plain(text: str | None) -> str:
 BROADCAST_ROWS = 500_000
 
 
+def keyed(docs: DataFrame, **keys: str) -> DataFrame:
+    """`doc`, a struct of all columns, beside keys given as SQL over them; `doc.*` gives the columns back, whatever their names."""
+    from pyspark.sql import functions as F
+
+    whole = F.struct(*[docs[f"`{c.replace('`', '``')}`"] for c in docs.columns]).alias("doc")
+    return docs.select(whole, *[F.expr(sql).alias(name) for name, sql in keys.items()])
+
+
 def without(docs: DataFrame, rejected: DataFrame, on) -> DataFrame:
     """Rows of `docs` that no row of `rejected` matches on its columns `on`; `rejected` is broadcast only if it is counted as small."""
     from pyspark.sql import functions as F

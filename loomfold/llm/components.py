@@ -1,4 +1,10 @@
-"""Connected components of an undirected graph of hashed nodes, by rounds of joins; nothing is collected."""
+"""Connected components of an undirected graph, by rounds of joins; nothing is collected.
+
+Nodes are unique longs. Each round gives every node the least node known to it: of its neighbours' least ones, and of the node that
+this one has itself reached (pointer jumping), so rounds grow with the logarithm of a chain's length. Nodes without edges never enter
+a round. Both joins of a round have one side with unique keys and plain rows of two longs on the other, so a hub or root with very many
+rows is split by the adaptive skew join, and the minimum is taken by a partial aggregate before the shuffle.
+"""
 
 from __future__ import annotations
 
@@ -8,25 +14,33 @@ from pyspark.sql import functions as F
 from loomfold.llm.common import durable
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """`nodes`: node, label (distinct nodes). `edges`: a, b. Returns node, label: the smallest label reachable.
-
-    Each round gives every node the least label next to it and then the label that this label's own node has reached (pointer
-    jumping over `root`), so rounds grow with the logarithm of a chain's length. Nodes without edges never enter a round.
-    """
-    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+def components(edges: DataFrame) -> DataFrame | None:
+    """`edges`: a, b. Returns node, root for each node with an edge, root being the least node reachable; None without edges."""
+    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
     if both.isEmpty():
-        return nodes.select("node", "label")
-    touched = both.select(F.col("a").alias("node")).distinct()
-    now = durable(nodes.join(touched, "node", "left_semi").select("node", "label", F.struct("label", "node").alias("best")))
+        return None
+    now = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")))
     while True:
-        near = both.join(now.select(F.col("node").alias("b"), "best"), "b").groupBy(F.col("a").alias("node")).agg(F.min("best").alias("near"))
-        step = now.join(near, "node", "left").select("node", "label", F.least("best", "near").alias("next"), "best")
-        jump = step.select(F.col("node").alias("root"), F.col("next").alias("far"))
-        step = step.withColumn("root", F.col("next.node")).join(jump, "root", "left")
-        step = durable(step.select("node", "label", F.least("next", "far").alias("new"), F.col("best").alias("old")))
-        now = step.select("node", "label", F.col("new").alias("best"))
-        if step.filter("new.node != old.node").isEmpty():
-            break
-    out = now.select("node", F.col("best.label").alias("reached"))
-    return nodes.join(out, "node", "left").select("node", F.coalesce("reached", "label").alias("label"))
+        near = both.join(now.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        step = now.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("next"))
+        jump = now.select(F.col("node").alias("next"), F.col("root").alias("far"))
+        step = durable(step.join(jump, "next").select("node", "old", F.least("next", "far").alias("root")))
+        now = step.select("node", "root")
+        if step.filter("old != root").isEmpty():
+            return now
+
+
+def merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame | None:
+    """The components after further edges: only the roots that these edges join enter the rounds."""
+    if roots is None:
+        return components(edges)
+    for end in ("a", "b"):
+        own = roots.select(F.col("node").alias(end), "root")
+        edges = edges.join(own, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    edges = durable(edges.select("a", "b").filter("a != b").distinct())
+    more = components(edges)
+    if more is None:
+        return roots
+    above = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    old = roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return durable(old.unionByName(more.join(roots, "node", "left_anti").select("node", "root")))
