@@ -63,8 +63,24 @@ class PerfectHash:
         return self.ids[s] if self.words[s] == word else None
 
 
-def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token: lowest rank first, leftmost among equals."""
+class _Below:
+    """Ranks without the merges from one rank on."""
+
+    def __init__(self, ranks: dict[bytes, int], below: int):
+        self.ranks, self.below = ranks, below
+
+    def get(self, word: bytes) -> int | None:
+        rank = self.ranks.get(word)
+        return rank if rank is not None and rank < self.below else None
+
+    def __getitem__(self, word: bytes) -> int:
+        return self.ranks[word]
+
+
+def merge(word: bytes, ranks: dict[bytes, int], below: int | None = None) -> list[int]:
+    """The ids of one pre-token: lowest rank first, leftmost among equals. `below`: only merges of a lower rank."""
+    if below is not None:
+        ranks = _Below(ranks, below)
     n = len(word)
     end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
