@@ -4,13 +4,16 @@ Positions come from cutting a text at a pattern's matches: the lengths of the pi
 spans in code points. Patterns: see BASE; the span of a match is the whole match.
 
 The battery looks at tokens of 20 or more characters of `[A-Za-z0-9+/_=-]` that hold a digit. Their encoding is inferred
-(hex of either case, with dashes or without, base32, base62 or base64, which sets the alphabet; see ENCODINGS). Under the hypothesis that characters are uniform, chi-squared, runs about the
-alphabet's middle and lag-1 serial correlation each give a p value; a token stays a candidate if none, with Bonferroni's factor
-three, is below BATTERY_ALPHA. Under the hypothesis of ordinary text the coincidence of characters is higher, and letters change
-to digits or a new word begins less often: the p value of both together (the sum of their z values) enters a weighted Benjamini-Hochberg procedure over all tokens of the document, whose weights grow with the
-token's length (mean one), at FALSE_DISCOVERY. Spans of kind `random` are what both steps keep.
-
-Defined results: a null text is an empty one; each row gives one row; further columns are ignored.
+(hex of either case, with dashes or without, base32, base62 or base64, which sets the alphabet; see ENCODINGS), and three statistics are
+taken: chi-squared of the alphabet (or, what is the same up to scale, the coincidence of characters), runs, and lag-1 serial correlation.
+Two hypotheses are tested by them, each by a weighted Benjamini-Hochberg procedure over all tokens of the document, whose weights grow
+with the token's length (mean one). Under that of ordinary text the coincidence is higher and runs of digits and words are fewer:
+a token must be a discovery against it, at FALSE_DISCOVERY. Under that of uniform characters the least of the three p values counts,
+with Bonferroni's factor: a token that is a discovery against that one, at BATTERY_ALPHA, goes. What is left is of kind `random`.
+
+Defined results: a null text is an empty one, without spans; repeated rows give equal rows; spans that tie go by kind; a text of any length is
+read whole, in time that grows with its length and n log n with its matches; each row gives one row; an empty table gives none; further
+columns are ignored (redact keeps them).
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 BATTERY_ALPHA, FALSE_DISCOVERY = 0.001, 0.01
 HEX, BASE32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-BASE64 = BASE62 + "+/-_="
+BASE64 = BASE62 + "+/"
+#: Spans of a text above which redact() cuts it into characters.
+MANY = 100
 #: Pattern, alphabet, coincidence of characters in ordinary text that fits the pattern and the variance it has besides pair sampling
 #: (4 / n of the next figure), and how often a letter or digit of such text begins a new run (see RUN): less often where there is one case. Text of hex letters and digits is mostly digits (1/10, even); other text has letters' frequencies.
 ENCODINGS = [
@@ -50,16 +55,19 @@ def _spans(kind: str, pattern: str, group: int, least: int) -> str:
     """SQL for array<struct<start, kind order, kind, end, body>> of one kind, by start."""
     p, order = _sql(pattern), [k for k, *_ in BASE].index(kind) if kind != "random" else len(BASE)
     empty = "cast(array() as array<struct<start:bigint,ord:int,kind:string,stop:bigint,body:string>>)"
-    # The running end is the fold's state; the spans gather beside it.
-    fold = (
-        f"aggregate(arrays_zip(transform(split(text, {p}, -1), x -> length(x)), regexp_extract_all(text, {p}, 0), regexp_extract_all(text, {p}, {group})),"
-        f" struct(0L as at, {empty} as spans),"
-        " (s, x) -> struct(s.at + x.`0` + coalesce(length(x.`1`), 0) as at,"
-        f" if(x.`1` is null or length(x.`2`) < {least}, s.spans,"
-        f" concat(s.spans, array(struct(s.at + x.`0` as start, {order} as ord, '{kind}' as kind, s.at + x.`0` + length(x.`1`) as stop, x.`1` as body)))) as spans),"
-        " s -> s.spans)"
+    # where each match ends: running sums of the lengths of pieces and matches
+    lengths = f"transform(arrays_zip(split(text, {p}, -1), regexp_extract_all(text, {p}, 0)), x -> cast(length(x.`0`) + coalesce(length(x.`1`), 0) as bigint))"
+    rows = f"arrays_zip({_scan(lengths, 'a + b', '0L')}, regexp_extract_all(text, {p}, 0), regexp_extract_all(text, {p}, {group}))"
+    found = f"transform(filter({rows}, x -> length(x.`2`) >= {least}), x -> struct(x.`0` - length(x.`1`) as start, {order} as ord, '{kind}' as kind, x.`0` as stop, x.`1` as body))"
+    return f"if(regexp_like(text, {p}), {found}, {empty})"
+
+
+def _scan(array: str, both: str, nothing: str) -> str:
+    """SQL for the running `both` (of a and b) over an array of long: log n rounds, in each of which an element takes in the one 2^r before."""
+    return (
+        f"element_at(transform(array({array}), z -> aggregate(sequence(0, cast(ceil(log2(greatest(size(z), 2))) as int) - 1), z,"
+        f" (s, r) -> if(shiftleft(1, r) >= size(s), s, zip_with(s, concat(array_repeat({nothing}, shiftleft(1, r)), slice(s, 1, size(s) - shiftleft(1, r))), (a, b) -> {both})))), 1)"
     )
-    return f"if(regexp_like(text, {p}), {fold}, {empty})"
 
 
 def _phi(z: str) -> str:
@@ -68,9 +76,9 @@ def _phi(z: str) -> str:
 
 
 def _token_stats() -> str:
-    """SQL over the spans: of each token its length, encoding, characters and runs. Dashes of hex and padding do not count."""
+    """SQL over the spans: of each token its length, encoding, characters and runs. Dashes of hex and padding do not count; `-_` are `+/`."""
     form = "case " + " ".join(f"when regexp_like(x.body, '^({pattern})$') then struct('{letters}' as letters, {null}D as null_c, {more}D as more, {rate}D as rate)" for pattern, letters, null, more, rate in ENCODINGS) + " end"
-    bare = "if(length(y.form.letters) = 16, replace(y.x.body, '-', ''), rtrim('=', y.x.body))"
+    bare = "if(length(y.form.letters) = 16, replace(y.x.body, '-', ''), translate(rtrim('=', y.x.body), '-_', '+/'))"
     return (
         f"transform(transform(transform(spans, x -> struct(x as x, {form} as form)),"
         f" y -> struct(y.x as x, y.form as form, if(length({bare}) >= 20, {bare}, y.x.body) as body)),"
@@ -125,14 +133,18 @@ def scan(docs: DataFrame, carry: str = "cast(doc_id as bigint)") -> DataFrame:
     df = df.withColumn("base", F.expr("array_sort(concat(" + ", ".join(_spans(*b) for b in BASE) + "))"))
     df = df.withColumn("spans", F.expr(f"filter({_spans('random', TOKEN, 0, 20)}, x -> regexp_like(x.body, '[0-9]'))")).drop("text")
     df = tokens_with_tests(df)
-    # weighted Benjamini-Hochberg: q = p / weight; the largest i with q_i <= i/m * level sets the bar
     df = df.withColumn("mean_n", F.expr("aggregate(tests, 0D, (s, x) -> s + x.n) / greatest(size(tests), 1)"))
-    df = df.withColumn("q", F.expr("array_sort(transform(tests, x -> x.p_text * mean_n / x.n))"))
-    df = df.withColumn("bar", F.expr(f"coalesce(array_max(filter(transform(q, (v, i) -> if(v <= {FALSE_DISCOVERY} * (i + 1) / size(q), v, null)), v -> v is not null)), -1D)"))
-    kept = f"transform(filter(tests, x -> x.p_text * mean_n / x.n <= bar and x.p_random >= {BATTERY_ALPHA}), x -> x.span)"
+    df = df.withColumns({"bar": F.expr(_bar("p_text", FALSE_DISCOVERY)), "veto": F.expr(_bar("p_random", BATTERY_ALPHA))})
+    kept = "transform(filter(tests, x -> x.p_text * mean_n / x.n <= bar and x.p_random * mean_n / x.n > veto), x -> x.span)"
     return df.select("doc_id", "base", F.expr(f"array_sort(concat(base, {kept}))").alias("found"))
 
 
+def _bar(p: str, level: float) -> str:
+    """Weighted Benjamini-Hochberg: q = p / weight, the weight growing with length; the largest i with q_i <= i / m * level sets the bar."""
+    q = f"array_sort(transform(tests, x -> x.{p} * mean_n / x.n))"
+    return f"element_at(transform(array({q}), q -> coalesce(array_max(transform(q, (v, i) -> if(v <= {level} * (i + 1) / size(q), v, -1D))), -1D)), 1)"
+
+
 def _written(column: str) -> str:
     return f"array_join(transform({column}, x -> concat(x.kind, ':', x.start, ':', x.stop)), ',')"
 
@@ -146,11 +158,21 @@ def redact(docs: DataFrame) -> DataFrame:
     """`docs` with every found span of its texts masked by one `*` for each character; null texts stay null, columns unchanged."""
     whole = "named_struct(" + ", ".join(f"'c{k}', `{c.replace('`', '``')}`" for k, c in enumerate(docs.columns)) + ")"
     at = docs.columns.index("text")
-    # kept pieces between the spans; spans that overlap begin no earlier than the last one ended
-    fold = (
-        f"aggregate(found, struct(1L as at, cast(array() as array<string>) as parts), (s, x) -> if(x.stop < s.at, s, struct(x.stop + 1 as at,"
-        f" concat(s.parts, array(substring(doc_id.c{at}, cast(s.at as int), cast(greatest(x.start + 1 - s.at, 0) as int)), repeat('*', cast(x.stop + 1 - greatest(x.start + 1, s.at) as int)))) as parts)),"
-        f" s -> concat(array_join(s.parts, ''), substring(doc_id.c{at}, cast(s.at as int))))"
-    )
+    text = f"doc_id.c{at}"
+    # what each span masks begins no earlier than the furthest end before it; between both the text stays
+    furthest = _scan("transform(found, x -> x.stop)", "greatest(a, b)", "0L")
+    spans = f"transform(arrays_zip(found, concat(array(0L), {furthest})), y -> struct(y.found.start as start, y.found.stop as stop, y.`1` as before))"
+
+    def masked(piece, rest):
+        kept = piece.format(start="x.before", length="greatest(x.start - x.before, 0L)")
+        parts = f"transform(filter(s, x -> x.start is not null), x -> concat({kept}, repeat('*', cast(greatest(x.stop - greatest(x.start, x.before), 0L) as int))))"
+        return f"concat(array_join({parts}, ''), {rest})"
+
+    last = "element_at(s, -1).before"
+    few = masked(f"substring({text}, cast({{start}} + 1 as int), cast({{length}} as int))", f"substring({text}, cast({last} + 1 as int))")
+    # a text with many spans is cut into characters once, as substring() counts from the text's beginning
+    many = masked("array_join(slice(c, cast({start} + 1 as int), cast({length} as int)), '')", f"array_join(slice(c, cast({last} + 1 as int), size(c)), '')")
+    many = f"element_at(transform(array(split({text}, '')), c -> {many}), 1)"
+    fold = f"element_at(transform(array({spans}), s -> if(size(s) <= {MANY}, {few}, {many})), 1)"
     columns = [F.expr(f"if(size(found) = 0, doc_id.c{k}, {fold})" if k == at else f"doc_id.c{k}").alias(c) for k, c in enumerate(docs.columns)]
     return scan(docs, whole).select(*columns)
