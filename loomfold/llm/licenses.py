@@ -4,7 +4,8 @@ Normalising drops copyright notices (no more of their line than the notice), low
 names of holders, and keeps only runs of letters and digits with one space between. Each licence is known with and without its title,
 and with and without what follows its terms. All of it is built-in expressions; the licences are a table of fixed size, so it is broadcast.
 
-Defined results: null and empty texts match nothing; each row gives one row; further columns are ignored.
+Defined results: null, empty and blank texts match nothing; a text of any length is read whole; repeated rows give equal rows; each row gives
+one row; an empty table gives none; further columns are ignored. SQL for DuckDB is not given: its patterns have no look-around.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ TITLES = {
     "BSD-2-Clause": ["BSD License", "BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"],
     "BSD-3-Clause": ["BSD License", "BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License"],
     "Unlicense": ["The Unlicense", "Unlicense"],
+    "MIT-0": ["MIT No Attribution", "MIT-0", "MIT No Attribution License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD 0-Clause License", "Zero Clause BSD License (0BSD)", "BSD Zero Clause License (0BSD)"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License, Version 1.0"],
 }
 #: Words after which a line that begins with "copyright" is no notice, and words of the terms that end a notice on the same line.
 NO_NOTICE = "notice|holder|owner|law|licen[cs]e|statement|interest|protect|treat|right|disclaim|and|or|in|is|on|to|by|of|for|as"
@@ -37,7 +42,7 @@ NOTICE = (
     rf"|^[^\p{{L}}\p{{N}}\n]*copyright[ \t:]+(?!(?:{NO_NOTICE}))(?=\p{{L}}))[^\n]{{0,300}}?(?=$|\b(?:{OPENING}))"
     r"|^[^\p{L}\p{N}\n]*all rights reserved\.?[ \t]*$"
 )
-SPELLINGS = {"licence": "license", "copyleft": "copyleft", "organisation": "organization", "noncommercial": "non commercial", "merchantibility": "merchantability", "sub license": "sublicense", "whilst": "while", "https": "http"}
+SPELLINGS = {"licence": "license", "organisation": "organization", "noncommercial": "non commercial", "merchantibility": "merchantability", "sub license": "sublicense", "whilst": "while", "https": "http"}
 #: What stands for the holder in the canonical text, and numbers of the BSD clauses.
 HOLDERS = [
     (r"\bneither the names? of .{1,200}? nor the names? of (?:(?:its|any|the|other) )*contributors\b", "neither the name of the holder nor the names of its contributors"),

@@ -20,5 +20,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    """op7 in SQL for DuckDB; the others have no SQL form and are tested against brute force."""
+    """None: the ten need sketches, trained models, tokenizers or patterns with look-around; each is tested against brute force or the library."""
     return {}
