@@ -6,11 +6,12 @@ feature is scaled by its log-count ratio between the classes, a linear hinge-los
 and margins of a two-fold cross-fit set the logistic curve that turns margins into scores.
 
 The model is fitted on a bounded sample: the SAMPLE labelled rows of least hash among those whose crc32(doc_id as text)
-mod 4 is not 2. Their ids are broadcast (the bound is SAMPLE), and their features alone reach the driver. Every row is scored.
+mod 4 is not 2. Their ids are broadcast (the bound is SAMPLE), their features meet in one task, and the model alone (two arrays of
+DIMENSIONS) reaches the driver. Every row is scored.
 Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: a null text is an empty one and has a score; a document labelled both ways, or whose label is null, does not
-train; without labels of both classes every score is 0.5; each row gives one row; further columns are ignored.
+train; rows that share a doc_id train once; without labels of both classes every score is 0.5; each row gives one row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,49 +118,74 @@ def fit(rows: list[np.ndarray], quality: np.ndarray):
 
 
 def train(docs: DataFrame, labels: DataFrame):
+    """The fitted model, or None. Features go to one task, which holds at most SAMPLE rows; only the model comes to the driver."""
     one = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("quality").alias("q2"))
     one = one.filter("q = q2 and doc_id is not null and crc32(cast(doc_id as string)) % 4 != 2").select("doc_id", "q")
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
 
-    def features(frames):
+    def features(batches):
         make = Features()
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f.doc_id, "q": f.q, "x": [make(plain(t)) for t in f.text]})
+        for batch in batches:
+            got = [make(plain(t)).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], names=["doc_id", "q", "x"])
+
+    def fit_all(batches):
+        rows = sorted(r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "q", "x")), strict=True))
+        model = fit([np.frombuffer(x, np.int32) for _, _, x in rows], np.array([q for _, q, _ in rows]))
+        if model:
+            (weights, ratio), a, b = model
+            yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "ratio": [ratio.tobytes()], "a": [a], "b": [b]})
+
+    joined = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(sample), "doc_id").selectExpr("doc_id", "cast(q as int) q", "text")
+    # rows that share a doc_id train once, so that the sample's bound holds
+    rows = joined.mapInArrow(features, "doc_id long, q int, x binary").groupBy("doc_id", "q").agg(F.min("x").alias("x"))
+    got = rows.coalesce(1).mapInArrow(fit_all, "weights binary, ratio binary, a double, b double").collect()
+    return ((np.frombuffer(got[0].weights), np.frombuffer(got[0].ratio)), got[0].a, got[0].b) if got else None
+
 
-    joined = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(sample), "doc_id").select("doc_id", "q", "text")
-    got = joined.mapInPandas(features, "doc_id long, q int, x array<int>").toPandas()
-    got["x"] = [np.asarray(x, np.int32) for x in got.x]
-    got = got.assign(order=[x.tobytes() for x in got.x]).sort_values(["doc_id", "order"])
-    return fit(list(got.x), got.q.to_numpy())
+def scorer(held):
+    """A function that gives the scores of texts; the model is a broadcast."""
+    make = Features()
 
+    def scores(texts) -> list[float]:
+        if held.value is None:
+            return [0.5] * len(texts)
+        fitted, a, b = held.value
+        return [float(1 / (1 + np.exp(-np.clip(a * margin(fitted, make(plain(t))) + b, -30, 30)))) for t in texts]
 
-def score(docs: DataFrame, model, carry: list[str] | None = None) -> DataFrame:
-    """Columns `carry` (doc_id) of each row, and its score."""
+    return scores
+
+
+def score(docs: DataFrame, model) -> DataFrame:
+    """doc_id of each row, and its score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = carry or ["doc_id"]
-    kept = docs.select(*names) if "text" in names else docs.select(*names, "text")
-    at = kept.columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields) + ", score double"
 
     def run(batches):
-        import pyarrow as pa
+        scores = scorer(held)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
-        make = Features()
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model, least: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text scores `least` or more."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        scores = scorer(held)
         for batch in batches:
-            scores = []
-            for t in batch.column(at).cast(pa.string()).to_pylist():
-                if held.value is None:
-                    scores.append(0.5)
-                    continue
-                fitted, a, b = held.value
-                scores.append(float(1 / (1 + np.exp(-np.clip(a * margin(fitted, make(plain(t))) + b, -30, 30)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.float64())], names=[*names, "score"])
+            keep = [x >= least for x in scores(batch.column(at).cast(pa.string()).to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return kept.mapInArrow(run, schema)
+    # by number, as the names may hold dots
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels))
+    rows = score(docs, train(docs, labels))
     return rows.select("doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from loomfold.llm.common import durable, plain, table
 
 #: SQL that names a row by its content.
-ROW = "md5(concat(coalesce(cast(doc_id as string), ''), ':', coalesce(cast(text as string), '')))"
+ROW = "md5(concat(coalesce(cast(doc_id as string), ''), ':', coalesce(cast(lang as string), ''), ':', coalesce(cast(text as string), '')))"
 ORDER, BAND, FLOOR = 4, 8.0, 0.35
 #: Windows whose costs may be broadcast (12 bytes each); above it the join shuffles.
 BROADCAST_GRAMS = 4_000_000
