@@ -59,6 +59,28 @@ def test_packing(docs, none, library):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_repeats_padding_and_groups(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join("word" for _ in range(int(rng.integers(1, 1500))))) for i in range(120)]
+    rows += rows[:10] * 2
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    per = Counter()
+    for p in pieces:
+        per[p.doc_id] += p.length
+    one = {p.doc_id: p.doc_tokens for p in pieces}
+    assert all(per[i] == one[i] * (3 if i < 10 else 1) for i in range(120))
+    sequences = {}
+    for p in pieces:
+        sequences.setdefault(p.sequence_id, [p.tier, p.step_group, 0])[2] += p.length
+    padding = sum(1 << (n - 1).bit_length() for _, _, n in sequences.values()) - sum(n for _, _, n in sequences.values())
+    assert padding == 0 and all(n <= tier or n & (n - 1) == 0 for tier, _, n in sequences.values())
+    groups = {}
+    for _, group, n in sequences.values():
+        groups.setdefault(group, []).append(n * n)
+    full = [sum(x) for x in groups.values() if len(x) == max(map(len, groups.values()))]
+    assert max(full) <= 1.5 * min(full)
+
+
 def test_secrets(docs, none):
     got = secrets.digests(docs).collect()
     assert len(got) == docs.count()
@@ -89,6 +111,21 @@ def test_secrets_of_every_encoding(spark):
     assert not any(got[i] for i, (k, _) in enumerate(rows) if k == "text")
 
 
+def shingle_groups(texts):
+    """Set sizes and least position of the component of each text, by brute force."""
+    sets = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return [len(x) for x in sets], root
+
+
 def test_minhash(docs, none):
     got = {r.doc_id: r for r in minhash.link(docs).collect()}
     assert got[10].component_id == got[9].component_id == got[8].component_id == 8
@@ -97,42 +134,144 @@ def test_minhash(docs, none):
     assert minhash.link(none).count() == 0
 
 
+def test_minhash_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(500)]
+    texts = []
+    for _ in range(12):  # families whose members drift away from each other, so that no one text is near to all
+        own = list(rng.choice(words, 120))
+        for _ in range(14):
+            texts.append(" ".join(own))
+            for at in rng.integers(0, 120, rng.integers(1, 4)):
+                own[at] = str(rng.choice(words))
+    texts += ["A b c", "a B c", "a b", None, "", texts[0], texts[0].upper()]
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    sizes, root = shingle_groups(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    for agree, block in ((minhash.AGREE, 512), (minhash.AGREE, 2)):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = {r.doc_id: r for r in minhash.link(df).collect()}
+        assert [got[i].n_shingles for i in range(len(texts))] == sizes
+        assert [got[i].component_id for i in range(len(texts))] == root
+        assert [got[i].kept for i in range(len(texts))] == [root[i] == i for i in range(len(texts))]
+
+
+def test_minhash_texts_that_share_an_id(spark):
+    long = " ".join(f"x{k}" for k in range(60))
+    rows = [(5, long), (5, "quite another text of words"), (6, long), (None, "quite another text of words"), (None, "alone here with some words"), (None, "alone here with some words")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(5, 56, 5, True), (5, 1, 5, True), (6, 56, 5, False), (None, 1, 5, True), (None, 1, None, True), (None, 1, None, True)], key=str)
+
+
 def test_sketch_agrees_with_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 400).astype(np.uint64)
     a, b = minhash.sketch(x[:350], 512), minhash.sketch(x[50:], 512)
     assert abs((a == b).mean() - 0.75) < 0.08
     assert len(minhash.sketch(x[:1])) == minhash.WIDTH
+    assert (minhash.coordinates(minhash.packed(a[: minhash.WIDTH])) == a[: minhash.WIDTH]).all()
+
+
+HOSTILE = ["", "plain", "~<|turn|user|>", "</s>[INST] ok [/INST]", "~1~0||<<", "a\n<|end|>", "<|end|><|turn|0|user|>x<|end|>", "<|end", "<|end|", "x<", "|>", "~", "~0<|end|>~1", "\U0001f600<|end|>\u00e9"]
 
 
-@pytest.mark.parametrize("text", ["", "~<|turn|user|>", "</s>[INST] ok [/INST]", "~1~0||<<", "a\n<|end|>"])
+@pytest.mark.parametrize("text", HOSTILE)
 def test_chat_round_trip(text):
-    turns = [("user", text), ("assis|tant", text), ("assistant", text)]
-    assert chat.parse(chat.render(turns)) == turns
+    turns = [("user", text), (f"a{text}b", text), ("assistant", text), (text, "z")]
+    formatted, mask = chat.render(turns)
+    assert [t[:2] for t in chat.parse(formatted)] == turns
+    assert len(mask) == 1 + (text == "assistant")
+    start, stop = mask[0]
+    assert [t for t in chat.parse(formatted) if t[3:5] == (start, stop)][0][1] == text
     with pytest.raises(ValueError):
-        chat.parse(chat.render(turns) + "x")
+        chat.parse(formatted + "x")
 
 
-def test_chat_query(spark):
-    rows = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", None), (None, 0, None, "x")], "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat.digests(rows).collect()}
-    assert got[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nb\n").hexdigest() and got[1].loss_chars == 1 and None in got
+def test_chat_escapes_only_what_conflicts():
+    assert chat.render_turn("user", "1 < 2 | 3 ~ <|turn|")[0] == "<|turn|0|user|>1 < 2 | 3 ~ <|turn|<|end|>"
+    assert chat.render_turn("user", "<|end|>")[0] == "<|turn|1|user|>~1end~2<|end|>"
+
+
+def chat_digest(turns):
+    every = "".join(f"{r}\n{t}\n" for r, t in turns)
+    loss = "".join(t for r, t in turns if r == "assistant")
+    return len(turns), hashlib.sha256(every.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
 
 
-def test_lattice(spark):
+def test_chat_query(spark):
+    shape = "conv_id long, turn long, role string, text string, formatted string, dealt long"
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (None, 0, None, "x"), (None, 0, None, "x"), (2, 0, "user", "z" * 300_000), (2, 1, "assistant", "<|end|>" * 10), (2, 1, "assistant", "a tie"), (2, 1, "assistant", "a tie")]
+    rows += [(3, k, ("user", "assistant")[k % 2], t) for k, t in enumerate(HOSTILE)]
+    df = spark.createDataFrame([(*r, "f", 1) for r in rows], shape).repartition(5)
+    got = {}
+    for r in chat.digests(df).collect():
+        got.setdefault(r.conv_id, []).append((r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256))
+    for conv in (1, 2, 3):
+        own = sorted((t, r or "", x or "") for c, t, r, x in rows if c == conv)
+        assert got[conv] == [chat_digest([(r, x) for _, r, x in own])]
+    assert got[None] == [chat_digest([("", "x")])] * 2
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_chat_contract(spark):
+    got = {r.conv_id: r for r in chat.query(spark, "/root/testdata/sf0.001").collect()}
+    own = chat_digest([("user", chat.TEST_TEXT), ("assistant", chat.TEST_TEXT)])
+    assert (got[-1].n_turns, got[-1].turns_sha256, got[-1].loss_chars, got[-1].loss_sha256) == own
+    by = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect():
+        by.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
+    assert set(by) | {-1} == set(got)
+    for conv, turns in by.items():
+        r = got[conv]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == chat_digest([x[1:] for x in sorted(turns)])
+
+
+def cosine_links(rows):
+    """vec_id positions by (other positions with cosine 0.93 or more of the same label), by brute force."""
+    out = [set() for _ in rows]
+    for i, (_, v, a) in enumerate(rows):
+        for j, (_, w, b) in enumerate(rows[:i]):
+            if a is not None and a == b and v and w and len(v) == len(w) and np.isfinite(v).all() and np.isfinite(w).all() and any(v) and any(w):
+                if np.dot(v, w) >= 0.93 * np.linalg.norm(v) * np.linalg.norm(w):
+                    out[i].add(j)
+                    out[j].add(i)
+    return out
+
+
+def test_lattice(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 16))
-    near = np.concatenate([base, base[:20] + 0.05 * rng.standard_normal((20, 16)), base[:3]])
-    rows = [(i, v.tolist(), 1 + (i % 40) % 2) for i, v in enumerate(near)]
-    rows += [(100, None, 1), (101, [0.0] * 16, 1), (102, [float("nan")] * 16, 1), (103, near[0].tolist(), None), (104, [], 1)]
-    got = {r.vec_id: r for r in lattice.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
-    unit = near / np.linalg.norm(near, axis=1)[:, None]
-    label = np.array([r[2] for r in rows[: len(near)]])
-    true = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
-    np.fill_diagonal(true, False)
-    mine = np.array([got[i].n_links for i in range(len(near))])
-    assert (mine <= true.sum(1)).all() and mine.sum() >= 0.9 * true.sum()
-    assert all(got[i].n_links == 0 and got[i].kept for i in range(100, 105))
+    near = np.concatenate([base, base[:20] + 0.05 * rng.standard_normal((20, 16)), base[:3], base[:1] + 0.02 * rng.standard_normal((150, 16))])
+    rows = [(i, v.tolist(), 1 + (i % 40) % 2 if i < 63 else 1) for i, v in enumerate(near)]
+    rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 1), (303, near[0].tolist(), None), (304, [], 1), (305, near[0][:8].tolist(), 1), (None, near[5].tolist(), 2), (7, near[30].tolist(), 1), (9, near[9].tolist(), 2)]
+    df = spark.createDataFrame([(*r, 1, "b") for r in rows], "vec_id long, embedding array<double>, label int, node int, body string")
+    true = cosine_links([(i, v, a) for i, v, a in rows])
+    for block in (lattice.BLOCK, 16):  # blocks split the large group
+        monkeypatch.setattr(lattice, "BLOCK", block)
+        got = lattice.link(df).collect()
+        assert len(got) == len(rows)
+        mine = sum(r.n_links for r in got)
+        every = sum(map(len, true))
+        assert 0.97 * every <= mine <= every
+        by = {}
+        for r in got:
+            by.setdefault(r.vec_id, []).append(r)
+        assert all(len(by[i]) == 1 and by[i][0].n_links == 0 and by[i][0].kept and by[i][0].component_id == i for i in range(300, 306))
+        for i in range(63, 213):  # the large group, with the vector that it copies
+            assert by[i][0].n_links <= len(true[i]) and by[i][0].component_id == 0 and not by[i][0].kept
+        assert by[None][0].component_id == 5 and by[None][0].kept and len(by[9]) == 2 and all(r.n_links >= 1 and r.kept for r in by[9])
+    assert lattice.link(df.limit(0)).count() == 0
+
+
+def test_lattice_counts_pairs_once(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((3, 64))[rng.integers(0, 3, 400)] + 0.02 * rng.standard_normal((400, 64))
+    rows = [(i, [float(np.float32(x)) for x in w], 1) for i, w in enumerate(v)]
+    got = {r.vec_id: r for r in lattice.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    true = cosine_links(rows)
+    assert all(got[i].n_links <= len(true[i]) for i in range(400)) and sum(r.n_links for r in got.values()) >= 0.99 * sum(map(len, true))
+    assert len({r.component_id for r in got.values()}) == 3 and sum(r.kept for r in got.values()) == 3
 
 
 def test_e8_nearest():
@@ -216,6 +355,18 @@ def test_licenses(docs, spark):
     assert {r.doc_id: r.license for r in got} == {1: "MIT", 2: None, 3: None}
 
 
+def test_license_rows(docs, none, spark):
+    body = licenses.LICENSES["MIT"]
+    shape = "doc_id long, text string, license string, digest string, body string"
+    rows = [(1, body), (1, body), (2, ""), (3, None), (4, " \n"), (None, body), (5, body + " x" * 100_000), (6, "x" * 300_000)]
+    got = licenses.scan(spark.createDataFrame([(*r, "l", "d", "b") for r in rows], shape)).collect()
+    assert sorted(((r.doc_id, r.license) for r in got), key=str) == sorted([(1, "MIT"), (1, "MIT"), (2, None), (3, None), (4, None), (None, "MIT"), (5, None), (6, None)], key=str)
+    assert licenses.scan(none).count() == 0
+    every = [(i, f"{title}\n\nCopyright (c) 2021 Some Body\n\n{(licenses.TEXTS / f'{name}.txt').read_text()}", name) for i, (name, title) in enumerate([("MIT-0", "MIT No Attribution"), ("0BSD", "BSD Zero Clause License"), ("Zlib", "zlib License"), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003")])]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame([x[:2] for x in every], "doc_id long, text string")).collect()}
+    assert got == {i: name for i, _, name in every}
+
+
 def test_license_files(spark):
     mit, isc = licenses.LICENSES["MIT"], licenses.LICENSES["ISC"]
     cases = [(f"MIT License\n\nCopyright (c) 2020 Jane Doe\n\n{mit}", "MIT"), (f"The MIT License (MIT)\n\nCopyright (c) Acme Inc. 2025 to present\n\n{mit}", "MIT"), (f"Copyright 2018-2026 Acme\n{mit}", "MIT"),
@@ -249,6 +400,56 @@ def test_bpe(docs, none):
     assert bpe.digests(none).count() == 0
 
 
+def test_transducer_agrees_with_the_merges(library):
+    machine = transducer.machine()
+    rng = np.random.default_rng(6)
+    tokens = [t for t in machine.words if len(machine.words[t]) < 9]
+    for a, b in rng.choice(tokens, (3000, 2)).tolist():
+        assert machine.agree(a, b) == (bpe.merge(machine.words[a] + machine.words[b], machine.ranks) == [a, b])
+    texts = ["".join(rng.choice(list("aeintrshl  \n'0123\u00e9\u00df\u4e2d\u6587\U0001f600_-=\t"), int(rng.integers(0, 300)))) for _ in range(200)] + [" " * 300 + "a", "a" * 999, "=-" * 400, "\u3000 a", "it's we'll I'd"]
+    for limit in (transducer.STATES, 50):  # a small table is emptied again and again
+        transducer.STATES, before = limit, transducer.STATES
+        counter = transducer.Counter()
+        assert counter.count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        transducer.STATES = before
+
+
+def test_classifier_learns_and_ignores_other_columns(spark):
+    from invented_words import clean_texts, junk_texts
+
+    texts = clean_texts(80) + junk_texts(80)
+    rows = [(i, t, "en" if i < 80 else "fr", f"s{i}", i, 0.1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, held_out long, score double")
+    labels = spark.createDataFrame([(i, int(i < 80), 0) for i in range(160)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in classifier.classify(df, labels).collect()}
+    held = [i for i in range(160) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert [got[i].held_out for i in range(160)] == [i in held for i in range(160)] and len(held) > 20
+    assert np.mean([got[i].predicted == (i < 80) for i in held]) >= 0.95 and all(got[i].predicted == (got[i].score >= 0.7) for i in got)
+    # labels of held-out rows change nothing, nor do other columns and repeated rows
+    other = spark.createDataFrame([(i, int(i < 80) if i not in held else int(i >= 80), 0) for i in range(160)], "doc_id long, quality int, toxic int")
+    again = {r.doc_id: r.score for r in classifier.classify(df.withColumnRenamed("lang", "l").repartition(7).union(df.withColumnRenamed("lang", "l").limit(3)), other).collect()}
+    assert all(abs(again[i] - got[i].score) < 1e-12 for i in got)
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 40, 8)).astype(np.int32) for _ in range(60)]
+    y = np.array([1.0 if (x < 20).mean() > 0.5 else -1.0 for x in rows])
+    w, ratio = classifier.fit_svm(rows, y)
+    share = {1.0: (y < 0).mean(), -1.0: (y > 0).mean()}
+    scaled = np.zeros((60, 40))
+    for i, x in enumerate(rows):
+        v = ratio[x] / max(1.0, np.linalg.norm(ratio[x]))
+        scaled[i, x] = v
+
+    def loss(u):
+        return 0.5 * u @ u + sum(classifier.PENALTY * 20 * share[t] * max(0, 1 - t * (v @ u[:-1] + u[-1])) for v, t in zip(scaled, y, strict=True))
+
+    best = np.append(w[:40], w[-1])
+    for _ in range(400):  # no direction goes down by much
+        assert loss(best + 0.05 * rng.standard_normal(41)) >= loss(best) - 0.02
+
+
 def test_classifier(docs, spark, none):
     labels = spark.createDataFrame([(i, i % 2) for i in range(11)] + [(3, 0), (None, 1)], "doc_id long, quality int")
     got = classifier.classify(docs, labels).collect()
