@@ -1,4 +1,4 @@
-"""Ranks, fusion, metrics and TF-IDF (D12, D20, D21, E1, E2, F2, H3, H7, H8). Hits: query or section, id, score."""
+"""Ranks, fusion and TF-IDF (D21, D22, E1, E1b, E2, F1, H3, H7, H8). Hits: query or section, id, score."""
 
 from __future__ import annotations
 
@@ -15,28 +15,46 @@ def ranked(hits: DataFrame, by: str, k: int | None = None) -> DataFrame:
     return out if k is None else out.filter(F.col("r") < k)
 
 
-def section_rank(hits: DataFrame, k: int) -> DataFrame:
-    """section, id, score, section_rank: rank divided by ln(size) over ln(largest size), at least 0.01."""
-    sizes = hits.groupBy("section").agg(F.count("*").alias("n"))
-    most = sizes.agg(F.max("n").alias("most"))
-    weight = F.greatest(F.log(F.greatest("n", F.lit(2))) / F.log(F.greatest("most", F.lit(2))), F.lit(0.01))
-    weights = sizes.crossJoin(F.broadcast(most)).select("section", weight.alias("w"))
-    return ranked(hits, "section", k).join(weights, "section").select("section", "id", "score", (F.col("r") / F.col("w")).alias("section_rank"))
+def section_rank(hits: DataFrame, sizes: DataFrame, k: int | None = None, floor: int = 2) -> DataFrame:
+    """Hits (section, id, score, and query_id where there is one) with section_rank: the rank from 0 within the section, over the section's
+    weight (E1): ln(size) over ln(largest size), sizes below `floor` as `floor`, at least 0.01. `sizes`: section, n of the corpus; a section
+    without a size has 1. With floor 1 (E1b) all weigh 1 where the largest size is 1."""
+    w = Window.partitionBy(*[c for c in ("query_id", "section") if c in hits.columns]).orderBy(F.desc("score"), "id")
+    out = hits.withColumn("r", F.row_number().over(w) - 1)
+    out = (out if k is None else out.filter(F.col("r") < k)).join(sizes.select("section", "n"), "section", "left")
+    out = out.crossJoin(F.broadcast(sizes.agg(F.max("n").alias("most"))))
+    top = F.log(F.greatest(F.coalesce("most", F.lit(1)), F.lit(floor)))
+    weight = F.when(top == 0, 1.0).otherwise(F.log(F.greatest(F.coalesce("n", F.lit(1)), F.lit(floor))) / top)
+    return out.withColumn("section_rank", F.col("r") / F.greatest(weight, F.lit(0.01))).drop("r", "n", "most")
 
 
 def max_normalised(hits: DataFrame) -> DataFrame:
-    """Absolute scores over the largest of the table (1 where that is 0)."""
-    most = hits.agg(F.max(F.abs("score")).alias("most"))
-    scaled = F.abs("score") / F.when(F.col("most") == 0, 1.0).otherwise(F.col("most"))
-    return hits.crossJoin(F.broadcast(most)).select("section", "id", scaled.alias("score"))
+    """Absolute scores over the largest of their query (1 where that is 0) (D21); of the table where there is no query_id."""
+    keys = [c for c in ("query_id",) if c in hits.columns]
+    most = hits.groupBy(*keys).agg(F.max(F.abs("score")).alias("most"))
+    joined = hits.join(most, keys) if keys else hits.crossJoin(F.broadcast(most))
+    return joined.withColumn("score", F.abs("score") / F.when(F.col("most") == 0, 1.0).otherwise(F.col("most"))).drop("most")
+
 
+def section_normalised(hits: DataFrame) -> DataFrame:
+    """Scores above 0, over the largest of their query and section."""
+    keys = [c for c in ("query_id", "section") if c in hits.columns]
+    hits = hits.filter("score > 0")
+    return hits.join(hits.groupBy(*keys).agg(F.max("score").alias("most")), keys).withColumn("score", F.col("score") / F.col("most")).drop("most")
 
-def rrf(dense: DataFrame, lexical: DataFrame, k: int, w_dense: float = 0.6, w_lexical: float = 0.4) -> DataFrame:
-    """section, id, score: the larger of both sources' weight * score / (60 + section rank + 1)."""
+
+def fuse(dense: DataFrame, lexical: DataFrame, sizes: DataFrame, limit: int, w_dense: float = 0.6, w_lexical: float = 0.4) -> DataFrame:
+    """query_id, chunk_id, section, score, place (H7, F1): of each chunk the larger of both sources' weight * score / (60 + section rank + 1), the
+    `limit` best of each query. Hits: query_id, chunk_id, section, score."""
     if min(w_dense, w_lexical) < 0 or w_dense + w_lexical == 0:
         raise ValueError("weights must not be negative, nor both zero")
-    parts = [section_rank(h, k).select("section", "id", (w * F.col("score") / (RRF_K + F.col("section_rank") + 1)).alias("score")) for h, w in ((dense, w_dense), (max_normalised(lexical), w_lexical))]
-    return parts[0].unionByName(parts[1]).groupBy("section", "id").agg(F.round(F.max("score"), 6).alias("score"))
+    parts = []
+    for hits, weight in ((dense, w_dense), (lexical, w_lexical)):
+        ranks = section_rank(hits.select("query_id", F.col("chunk_id").alias("id"), "section", "score"), sizes)
+        parts.append(ranks.select("query_id", F.col("id").alias("chunk_id"), "section", (weight * F.col("score") / (RRF_K + F.col("section_rank") + 1)).alias("score")))
+    best = parts[0].unionByName(parts[1]).groupBy("query_id", "section", "chunk_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "section", "chunk_id")
+    return best.withColumn("place", F.row_number().over(w) - 1).filter(F.col("place") < limit)
 
 
 def rank_sum(sources: list[tuple[DataFrame, float]]) -> DataFrame:
@@ -48,21 +66,6 @@ def rank_sum(sources: list[tuple[DataFrame, float]]) -> DataFrame:
     return out.groupBy("query", "id").agg(F.round(F.sum("s"), 4).alias("score"))
 
 
-def page_dedupe(hits: DataFrame, k: int) -> DataFrame:
-    """The first hit of each page by tier and score, then the first k pages of each query."""
-    order = ["tier", F.desc("score"), "id"]
-    first = hits.withColumn("n", F.row_number().over(Window.partitionBy("query", "page").orderBy(*order))).filter("n = 1")
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)).cast("long")).filter(F.col("rank") <= k).drop("n", "tier", "score")
-
-
-def retrieval_metrics(hits: DataFrame, k: int) -> DataFrame:
-    """recall, mrr, evaluated, total; hits: query, id, score, relevant. Queries without relevant rows count in `total` only."""
-    found = F.col("relevant")
-    by = ranked(hits, "query").groupBy("query").agg(F.count_if(found).alias("n"), F.count_if(found & (F.col("r") < k)).alias("top"), F.min(F.when(found, F.col("r"))).alias("first"))
-    mean = [F.round(F.coalesce(F.avg(F.when(F.col("n") > 0, x)), F.lit(0.0)), 6).alias(a) for a, x in (("recall", F.col("top") / F.col("n")), ("mrr", 1 / (F.col("first") + 1)))]
-    return by.agg(*mean, F.count_if(F.col("n") > 0).alias("evaluated"), F.count("*").alias("total"))
-
-
 def tfidf(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, section, doc_id, score: cosine of smoothed TF-IDF rows, fitted by section on its VOCABULARY most frequent terms."""
 

@@ -1,4 +1,8 @@
-"""Retrieval: BM25 over postings and exact dense top-k (H1, H5), for a few queries or for every row divisible by EACH."""
+"""Retrieval (C1-C5, E2, E4, E5, F1, F2, F4, G18, H1, H2, H4-H6, H9, H10, H15): full text, dense vectors, page ids, title codes, and all together.
+
+Queries come as a table and are answered in one job: query_id, query, and for the dense side vector. Chunks: chunk_id, page_id, section, title,
+breadcrumbs, text, chunk_index, duplicate_ordinal. Pages: page_id, section, title, url, breadcrumbs, deleted_at, parent_text, source_text.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomfold.functions import text as T
+from loomfold.functions.content import PATH, TITLE, merge_overlapping
+from loomfold.operators import ranking
+from loomfold.operators.filters import checked, live, metadata_filter
+
 K1, B = 1.2, 0.75
+#: Indexed columns, least candidates of each source, most results, Okapi's parameters and the floor of its inverse document frequency.
+COLUMNS, CANDIDATES, MOST = ("title", "breadcrumbs", "text"), 30, 100
+OKAPI_K1, OKAPI_B, OKAPI_EPSILON = 1.5, 0.75, 0.25
 #: Every row whose id is divisible by EACH is a query; rows and queries that meet at once.
 EACH, ROWS, QUERIES = 50, 4096, 512
 
@@ -102,3 +114,263 @@ def dense_top_k_blocks(corpus: DataFrame, queries: DataFrame, k: int) -> DataFra
     found = pairs.mapInPandas(best, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+
+
+def fts_parts(query):
+    """The parts of a full-text query (G18): array of {value, all}. Parts with all = false each match alone; those with all = true only together.
+
+    Parts are the document codes and the words but numbers of one or two digits, each once whatever its case. A query that is one code is that
+    phrase, or all its words of three letters or more, where it has two of them.
+    """
+    codes, q = T.identifiers(query), F.trim(T.text_or_empty(query))
+    words = F.filter(T.words(query), lambda w: ~w.rlike("^[0-9]{1,2}$"))
+    every = F.concat(codes, words)
+    keys = F.transform(every, T.folded)
+    first = F.filter(F.transform(every, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.array_position(keys, T.folded(s.x)) == s.i + 1)
+    single = F.transform(first, lambda s: F.struct(s.x.alias("value"), F.lit(False).alias("all")))
+    long = F.filter(words, lambda w: ~w.rlike("^[0-9]+$") & (F.length(w) >= 3))
+    together = F.transform(long, lambda w: F.struct(w.alias("value"), F.lit(True).alias("all")))
+    is_code = (F.size(codes) > 0) & F.coalesce(F.element_at(codes, 1) == q, F.lit(False))
+    return F.when(is_code & (F.size(long) >= 2), F.concat(F.slice(single, 1, 1), together)).when(is_code, F.slice(single, 1, 1)).otherwise(single)
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """chunk_id, column, position, token of the full-text index."""
+    own = F.array(*[F.struct(F.lit(i).alias("column"), T.search_tokens(F.col(c)).alias("tokens")) for i, c in enumerate(COLUMNS)])
+    rows = chunks.select("chunk_id", F.explode(own).alias("c"))
+    return rows.select("chunk_id", F.col("c.column").alias("column"), F.posexplode("c.tokens").alias("position", "token"))
+
+
+def full_text(chunks: DataFrame, queries: DataFrame, k: int, sections=None, filters: dict | None = None) -> DataFrame:
+    """query_id, chunk_id, section, score, rank: BM25 over three columns with phrases and conjunctions.
+
+    Scores are negative, the lowest is best. The k best of each section are kept; filters work below that limit. Statistics are of the
+    whole index. A phrase is found by its tokens' positions less their places in the phrase: no text is scanned again.
+    """
+    parts = queries.select("query_id", F.posexplode(fts_parts(F.col("query"))).alias("part", "p")).select("query_id", "part", "p.all", T.search_tokens(F.col("p.value")).alias("tokens"))
+    parts = parts.filter(F.size("tokens") > 0).withColumn("phrase", F.array_join("tokens", " "))
+    wanted = parts.select("phrase", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token")).distinct()
+    index = postings(chunks)
+    lengths = chunks.select("chunk_id", sum(F.size(T.search_tokens(F.col(c))) for c in COLUMNS).alias("length"))
+    totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+    starts = index.join(wanted, "token").groupBy("phrase", "n", "chunk_id", "column", (F.col("position") - F.col("place")).alias("start")).agg(F.count("*").alias("places"))
+    found = starts.filter("places = n").groupBy("phrase", "chunk_id").agg(F.count("*").alias("f"))
+    df = found.groupBy("phrase").agg(F.count("*").alias("df"))
+    scored = found.join(df, "phrase").join(lengths, "chunk_id").crossJoin(F.broadcast(totals))
+    odds = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.when(odds > 0, odds).otherwise(1e-6) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+    scored = scored.select("phrase", "chunk_id", (-weight).alias("x"))
+    needed = parts.filter("all").groupBy("query_id").agg(F.count("*").alias("needed"))
+    by = scored.join(parts.select("query_id", "all", "phrase"), "phrase").groupBy("query_id", "chunk_id")
+    by = by.agg(F.sum(F.when(~F.col("all"), F.col("x"))).alias("any"), F.sum(F.when(F.col("all"), F.col("x"))).alias("together"), F.count_if("all").alias("met"))
+    by = by.join(needed, "query_id", "left").withColumn("together", F.when(F.col("met") == F.col("needed"), F.col("together")))
+    by = by.filter("any is not null or together is not null").select("query_id", "chunk_id", F.round(F.coalesce("any", F.lit(0.0)) + F.coalesce("together", F.lit(0.0)), 9).alias("score"))
+    out = by.join(metadata_filter(chunks, filters, sections).select("chunk_id", "section"), "chunk_id")
+    w = Window.partitionBy("query_id", "section").orderBy("score", "chunk_id")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def like_search(chunks: DataFrame, queries: DataFrame, filters: dict | None = None) -> DataFrame:
+    """query_id, chunk_id, score 0 of the chunks whose text or title holds the query, whatever the case of ASCII letters (H2). Every chunk is
+    compared with every query; the fallback where no index is at hand."""
+    rows = metadata_filter(chunks, filters).select("chunk_id", "title", "text")
+    hit = T.contains_ascii_fold(F.col("text"), F.col("query")) | T.contains_ascii_fold(F.col("title"), F.col("query"))
+    return rows.join(queries.select("query_id", "query"), hit).select("query_id", "chunk_id", F.lit(0.0).alias("score"))
+
+
+def okapi(chunks: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
+    """query_id, chunk_id, score, rank (H4): Okapi BM25 over blank-separated lower-case words, as a share of the query's best score.
+
+    A word's inverse document frequency may be negative; it is then OKAPI_EPSILON times the mean of all words. Words of a query count as often as they occur.
+    """
+    def split(c):
+        return F.filter(F.split(F.lower(T.text_or_empty(c)), r"\s+"), lambda x: x != "")
+
+    sized = chunks.select("chunk_id", split(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
+    totals = sized.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    tf = sized.select("chunk_id", "dl", F.explode("t").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
+    df = df.withColumn("raw", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = df.agg(F.avg("raw").alias("mean"))
+    asked = queries.select("query_id", F.explode(split(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    terms = asked.join(df, "term").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, OKAPI_EPSILON * F.col("mean")).otherwise(F.col("raw")))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (OKAPI_K1 + 1) / (F.col("tf") + OKAPI_K1 * (1 - OKAPI_B + OKAPI_B * F.col("dl") / F.col("avg_dl")))
+    scored = tf.join(terms.drop("df", "n_docs"), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("raw")).filter("raw > 0")
+    best = scored.groupBy("query_id").agg(F.max("raw").alias("best"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("raw"), "chunk_id")
+    ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).join(best, "query_id")
+    return ranked.select("query_id", "chunk_id", F.round(F.col("raw") / F.col("best"), 6).alias("score"), "rank")
+
+
+def dense(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, sections=None, filters: dict | None = None) -> DataFrame:
+    """query_id, chunk_id, section, score, rank: the k nearest by cosine of each section, scores below 0 as 0 (H5, H6).
+
+    Vectors are scaled to length one and meet in blocks; a pair of blocks gives k rows for each query and section that it holds.
+    """
+    rows = metadata_filter(chunks, filters, sections).select("chunk_id", "section").join(vectors, "chunk_id")
+    useful = "vector is not null and exists(vector, x -> x <> 0) and forall(vector, x -> x is not null)"
+
+    def pack(key, size, name):
+        def run(frames):
+            for f in frames:
+                for at in range(0, len(f), size):
+                    part = f.iloc[at : at + size]
+                    v = np.array(part.vector.tolist(), np.float64)
+                    v /= np.linalg.norm(v, axis=1)[:, None]
+                    yield pd.DataFrame({f"{name}_ids": [part[key].tolist()], f"{name}_sections": [part.section.tolist()], name: [v.tobytes()]})
+
+        return run
+
+    shape = "{0}_ids array<string>, {0}_sections array<string>, {0} binary"
+    left = rows.filter(useful).mapInPandas(pack("chunk_id", ROWS, "c"), shape.format("c"))
+    asked = queries.filter(useful).select(F.col("query_id").cast("string").alias("query_id"), F.lit("").alias("section"), "vector")
+    right = asked.mapInPandas(pack("query_id", QUERIES, "q"), shape.format("q"))
+
+    def best(frames):
+        for f in frames:
+            for r in f.itertuples():
+                ids, own = np.array(r.c_ids, object), np.array(r.c_sections, object)
+                order = np.lexsort((ids, own))
+                ids, own = ids[order], own[order]
+                scores = np.round(np.frombuffer(r.q).reshape(len(r.q_ids), -1) @ np.frombuffer(r.c).reshape(len(ids), -1)[order].T, 9)
+                edges = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                for a, b in zip(edges, np.append(edges[1:], len(ids)), strict=True):
+                    for query_id, row in zip(r.q_ids, scores[:, a:b], strict=True):
+                        at = np.argsort(-row, kind="stable")[:k]
+                        yield pd.DataFrame({"query_id": query_id, "chunk_id": ids[a + at], "section": own[a], "score": np.maximum(row[at], 0) + 0.0})
+
+    found = left.crossJoin(right).mapInPandas(best, "query_id string, chunk_id string, section string, score double")
+    w = Window.partitionBy("query_id", "section").orderBy(F.desc("score"), "chunk_id")
+    out = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return out.withColumn("query_id", F.col("query_id").cast(dict(queries.dtypes)["query_id"]))
+
+
+def first_chunks(chunks: DataFrame) -> DataFrame:
+    """The first chunk of each page."""
+    w = Window.partitionBy("page_id").orderBy("chunk_index", "duplicate_ordinal", "chunk_id")
+    return chunks.withColumn("n_", F.row_number().over(w)).filter("n_ = 1").drop("n_")
+
+
+def exact_pages(chunks: DataFrame, pages: DataFrame, queries: DataFrame, sections=None, filters: dict | None = None) -> DataFrame:
+    """query_id, chunk_id, page_id, section, score 1, place: first chunks of live pages whose id stands in the query, in that order."""
+    asked = queries.select("query_id", F.posexplode(T.page_ids(F.col("query"))).alias("place", "page_id"))
+    rows = first_chunks(chunks.join(asked.select("page_id").distinct(), "page_id", "left_semi"))
+    rows = metadata_filter(rows, filters, sections).select("page_id", "chunk_id", "section")
+    return rows.join(live(pages).select("page_id"), "page_id").join(asked, "page_id").select("query_id", "chunk_id", "page_id", "section", F.lit(1.0).alias("score"), "place")
+
+
+def holding(rows: DataFrame, column: str, needles: DataFrame) -> DataFrame:
+    """Rows with each needle that `column` holds, whatever the case of ASCII letters. `needles`: needle, of three characters or more, distinct.
+
+    Needle and text meet at the needle's rarest run of three characters, so no needle is compared with every row.
+    """
+    def grams(c):
+        n = F.length(c) - 2
+        return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+    low = F.translate(F.col(column), T.UPPER, T.LOWER)
+    texts = rows.select(low.alias("low")).distinct().select("low", F.explode(grams(F.col("low"))).alias("gram"))
+    counts = texts.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = needles.select("needle", F.translate("needle", T.UPPER, T.LOWER).alias("part")).select("needle", "part", F.explode(grams(F.col("part"))).alias("gram"))
+    rarest = asked.join(counts, "gram").groupBy("needle", "part").agg(F.min(F.struct("n", "gram")).alias("least"))
+    met = texts.join(rarest.select("needle", "part", F.col("least.gram").alias("gram")), "gram").filter(F.col("low").contains(F.col("part")))
+    return rows.withColumn("low", low).join(met.select("low", "needle"), "low").drop("low")
+
+
+def title_codes(chunks: DataFrame, pages: DataFrame, queries: DataFrame, k: int, sections=None, filters: dict | None = None) -> DataFrame:
+    """query_id, chunk_id, page_id, section, title, score, place: chunks whose title, or whose page's title, holds a code of the query.
+
+    A page is claimed by the longest code that it holds, with its first chunk that does. Order: words of the query in the title, the code at its
+    beginning, the code's place, the title's length; then the codes' order and the chunks'. Scores go down from 0.99 by 0.001.
+    """
+    asked = queries.select("query_id", "query", F.posexplode(T.identifiers(F.col("query"))).alias("code_place", "code"))
+    named = live(pages).select("page_id", F.col("title").alias("page_title"))
+    rows = metadata_filter(chunks, filters, sections).select("chunk_id", "page_id", "section", "title", "chunk_index", "duplicate_ordinal").join(named, "page_id")
+    rows = rows.withColumn("both", F.concat_ws("\n", "title", "page_title"))
+    hits = holding(rows, "both", asked.select(F.col("code").alias("needle")).distinct()).withColumnRenamed("needle", "code").join(asked, "code")
+    w = Window.partitionBy("query_id", "page_id").orderBy("code_place", "chunk_index", "duplicate_ordinal", "chunk_id")
+    hits = hits.withColumn("n_", F.row_number().over(w)).filter("n_ = 1")
+    title = F.when(F.col("page_title") != "", F.col("page_title")).otherwise(F.col("title"))
+    low, code = T.folded(title), T.folded(F.col("code"))
+    terms = F.filter(T.query_terms(F.col("query")), lambda t: t != code)
+    overlap = F.size(F.filter(terms, lambda t: low.contains(t)))
+    hits = hits.withColumn("title", title).withColumns({"low_": low, "code_": code, "overlap_": overlap})
+    at = F.expr("position(code_ in low_)")
+    hits = hits.withColumn("at_", F.when(at == 0, 10_000).otherwise(at - 1)).withColumn("prefix_", F.when(F.col("low_").startswith(F.col("code_")), 0).otherwise(1))
+    order = Window.partitionBy("query_id").orderBy(F.desc("overlap_"), "prefix_", "at_", F.length("title"), "code_place", "chunk_index", "duplicate_ordinal", "chunk_id")
+    hits = hits.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < k)
+    return hits.select("query_id", "chunk_id", "page_id", "section", "title", F.round(0.99 - F.col("place") * 0.001, 4).alias("score"), "place")
+
+
+def parents(pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """page_id, title, url, breadcrumbs, text of live pages (C5, H10): the parent's text, else the source's, else the chunks' texts without
+    their headers, each once, merged where they overlap; the path and title stand before it."""
+    body = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("parent_text", "source_text")])
+    rows = live(pages).select("page_id", "title", "url", "breadcrumbs", body.alias("body"))
+    bare = rows.filter("body is null").select("page_id")
+    own = chunks.join(bare, "page_id", "left_semi").select("page_id", F.struct("chunk_index", "duplicate_ordinal", "chunk_id", T.without_header(F.col("text")).alias("t")).alias("c"))
+    texts = own.groupBy("page_id").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    parts = F.filter(F.array_distinct(F.transform("c", lambda x: x.t)), lambda t: t.isNotNull() & (t != ""))
+    texts = texts.select("page_id", merge_overlapping(parts).alias("merged"))
+    head = F.concat(F.when(F.col("breadcrumbs") != "", F.concat(F.lit(PATH), F.col("breadcrumbs"), F.lit("\n"))).otherwise(""), F.lit(TITLE), F.col("title"))
+    whole = F.trim(F.concat(head, F.lit("\n\n"), F.coalesce("body", "merged", F.lit(""))))
+    return rows.join(texts, "page_id", "left").select("page_id", "title", "url", "breadcrumbs", F.regexp_replace(whole, r"^\s+|\s+$", "").alias("text"))
+
+
+def best_of_pages(hits: DataFrame) -> DataFrame:
+    """The best hit of each query and page, the first of equal ones (D20); hits without a page stay apart by chunk. Hits: query_id, chunk_id,
+    page_id, score, tier, place."""
+    key = F.when(F.coalesce("page_id", F.lit("")) != "", F.concat(F.lit("p"), "page_id")).when(F.coalesce("chunk_id", F.lit("")) != "", F.concat(F.lit("c"), "chunk_id"))
+    w = Window.partitionBy("query_id", "tier", "key").orderBy(F.desc("score"), "place", "chunk_id")
+    return hits.withColumn("key", key).filter("key is not null").withColumn("n_", F.row_number().over(w)).filter("n_ = 1").drop("n_")
+
+
+def page_results(hits: DataFrame, k: int) -> DataFrame:
+    """The first k pages of each query: those of a lower tier first, then by score; a page counts once (F2). Hits as for best_of_pages."""
+    best = best_of_pages(hits)
+    w = Window.partitionBy("query_id", "key").orderBy("tier")
+    once = best.withColumn("n_", F.row_number().over(w)).filter("n_ = 1")
+    order = Window.partitionBy("query_id").orderBy("tier", F.desc("score"), "place", "chunk_id")
+    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("n_", "key")
+
+
+def hybrid(chunks: DataFrame, pages: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, sections=None, filters: dict | None = None, use_parents: bool = True, weights=(0.6, 0.4)) -> DataFrame:
+    """query_id, rank, page_id, chunk_id, section, score, match, text (H9): pages that the query names or whose title holds its code, then dense
+    and full-text hits fused, each page once, with its parent's text.
+
+    A blank query fails when the job runs; k, filters and weights are checked at once.
+    """
+    if not 1 <= k <= MOST:
+        raise ValueError(f"k must be from 1 to {MOST}")
+    checked(filters)
+    queries = queries.filter(F.when(F.trim(T.text_or_empty(F.col("query"))) != "", True).otherwise(F.raise_error(F.lit("a query must not be empty")).cast("boolean")))
+    each = max(CANDIDATES, 3 * k)
+    exact = exact_pages(chunks, pages, queries, sections, filters).withColumns({"match": F.lit("page_id"), "tier": F.lit(0)})
+    titled = title_codes(chunks, pages, queries, each, sections, filters).drop("title").withColumns({"match": F.lit("title_identifier"), "tier": F.lit(0)})
+    near = dense(chunks, vectors, queries, each, sections, filters)
+    told = ranking.max_normalised(full_text(chunks, queries, each, sections, filters))
+    sizes = metadata_filter(chunks, None, sections).groupBy("section").agg(F.count("*").alias("n"))
+    fused = ranking.fuse(near, told, sizes, each * max(1, len(sections or [None])), *weights)
+    fused = fused.join(chunks.select("chunk_id", "page_id"), "chunk_id").withColumns({"match": F.lit(None).cast("string"), "tier": F.lit(1)})
+    columns = ["query_id", "chunk_id", "page_id", "section", "score", "place", "match", "tier"]
+    out = page_results(exact.select(columns).unionByName(titled.select(columns)).unionByName(fused.select(columns)), k)
+    body = chunks.select("chunk_id", "text")
+    out = out.join(body, "chunk_id", "left").withColumn("score", F.round("score", 4))
+    if use_parents:
+        out = out.persist()  # k rows for each query, read for their pages first
+        whole = parents(pages.join(out.select("page_id").distinct(), "page_id", "left_semi"), chunks)
+        out = out.join(whole.select("page_id", F.col("text").alias("whole")), "page_id", "left").withColumn("text", F.coalesce("whole", "text")).drop("whole")
+    return out.select("query_id", "rank", "page_id", "chunk_id", "section", "score", "match", "text")
+
+
+def context(results: DataFrame, parents_used: bool = True) -> DataFrame:
+    """query_id and one text of all results of a query, each cut to 8000 characters (3000 for chunks)."""
+    cut = T.truncated(F.col("text"), 8000 if parents_used else 3000)
+    part = F.concat(F.lit("---\n## "), F.col("rank").cast("string"), F.lit(". "), F.coalesce("page_id", F.lit("")), F.lit("\n"), F.col("section"), F.lit(" | "), F.col("score").cast("string"), F.lit("\n\n"), cut, F.lit("\n"))
+    parts = results.select("query_id", F.struct("rank", part.alias("part")).alias("p")).groupBy("query_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return parts.select("query_id", F.array_join(F.transform("p", lambda x: x.part), "").alias("context"))
+
+
+def results_json(results: DataFrame, cut: int = 2000) -> DataFrame:
+    """Each result as JSON, its text cut."""
+    return results.select("query_id", "rank", F.to_json(F.struct("page_id", "chunk_id", "section", "score", F.substring("text", 1, cut).alias("text"))).alias("json"))
