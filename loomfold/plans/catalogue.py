@@ -2,87 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from loomfold.plans import corpus, retrieval, work
 
-from loomfold.functions import text as T
-from loomfold.operators import duplicates, queue, ranking, search, stats
-
-FLAGSHIP = "h1_bm25_search"
-
-
-def docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def _t(name):
-    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-events, embeddings, chats, pages = _t("events"), _t("embeddings"), _t("conversations"), _t("pages")
-
-
-def _hits(events, by, score="value"):
-    return events.selectExpr(f"{by}", "event_id id", f"{score} score", "event_type = 'purchase' relevant")
-
-
-SECTION, QUERY, LEXICAL = "event_type section", "user_id query", "cast(get_json_object(props, '$.k') as double)"
-
-
-def _page_hits(docs):
-    return docs.selectExpr("lang query", "source page", "doc_id id", "n_chars score", "if(contains(text, 'License'), 0, 1) tier")
-
-
-def _jobs(docs):
-    return docs.filter("lang in ('en', 'fr')").selectExpr("doc_id key", "1L generation", "'done' status")
-
-
-def _sample(s):
-    return s.createDataFrame(search.sample_queries(), "query_id int, query string")
+FLAGSHIP = "h9_hybrid_search"
 
 
 def queries() -> dict:
-    return {
-        "b5_like_ascii_fold": lambda s, d: docs(s, d).filter(T.contains_ascii_fold(F.col("text"), "MIT License")).select("doc_id"),
-        "b10_event_kind": lambda s, d: queue.event_kinds(events(s, d)),
-        "d1_section_counts": lambda s, d: docs(s, d).groupBy(F.col("source").alias("section")).agg(F.count("*").alias("n")),
-        "d2_exact_duplicates": lambda s, d: duplicates.exact_groups(docs(s, d)),
-        "d7_queue_metrics": lambda s, d: queue.status_counts(events(s, d)),
-        "d10_coverage": lambda s, d: stats.coverage(docs(s, d), embeddings(s, d)),
-        "d11_parents": lambda s, d: stats.parents(chats(s, d)),
-        "d13_percentiles": lambda s, d: stats.percentiles(events(s, d)),
-        "d17_task_time": lambda s, d: stats.task_time(events(s, d)),
-        "e3_duplicate_ordinal": lambda s, d: stats.duplicate_ordinals(docs(s, d)),
-        "f6_stale_pages": lambda s, d: docs(s, d).select("doc_id").join(pages(s, d).select(F.col("page_id").alias("doc_id")), "doc_id", "left_anti"),
-        "f7_multiset_equal": lambda s, d: stats.multiset_equal(docs(s, d), docs(s, d).dropDuplicates(["doc_id"])),
-        "g11_content_hash": lambda s, d: docs(s, d).select("doc_id", F.sha2("text", 256).alias("content_hash")),
-        "g12_stable_chunk_id": lambda s, d: docs(s, d).select("doc_id", T.stable_chunk_id(F.col("source"), F.col("doc_id").cast("string"), F.col("text")).alias("chunk_id")),
-        "g14_normalized_text": lambda s, d: docs(s, d).select("doc_id", F.sha2(T.normalized(F.col("text")), 256).alias("normalized_sha256")),
-        "g27_backoff": lambda s, d: queue.backoff(events(s, d)),
-        "h1_bm25_search": lambda s, d: search.bm25(docs(s, d), s.createDataFrame(search.sample_queries(), "query_id int, query string"), 30),
-        "b1_metadata_filter": lambda s, d: docs(s, d).filter("lang = 'fr'").join(F.broadcast(docs(s, d).agg(F.min("source").alias("source"))), "source").select("doc_id"),
-        "b6_json_path": lambda s, d: events(s, d).select("event_id", F.get_json_object("props", "$.k").alias("k")),
-        "c7_first_open": lambda s, d: queue.first_open(events(s, d)),
-        "d12_retrieval_metrics": lambda s, d: ranking.retrieval_metrics(_hits(events(s, d), QUERY), 10),
-        "d20_max_per_page": lambda s, d: ranking.ranked(_hits(events(s, d), QUERY), "query", 1).selectExpr("query user_id", "id event_id"),
-        "e1_section_rank": lambda s, d: ranking.section_rank(_hits(events(s, d), SECTION), 30).select("section", "id", F.round("section_rank", 6).alias("section_rank")),
-        "f2_page_dedupe": lambda s, d: ranking.page_dedupe(_page_hits(docs(s, d)), 10),
-        "g15_page_ids": lambda s, d: docs(s, d).select("doc_id", T.page_ids((F.col("doc_id") + 100000).cast("string"))[0].alias("bare"), F.array_join(T.page_ids(F.expr("concat('pageId=', doc_id + 5, ', pageid: ', doc_id + 7, ', pageId ', doc_id + 5)")), ",").alias("named")),
-        "g17_query_terms": lambda s, d: docs(s, d).select("doc_id", F.size(T.query_terms(F.col("text"))).cast("long").alias("n_terms")),
-        "g29_truncated": lambda s, d: docs(s, d).select("doc_id", F.sha2(T.truncated(F.col("text"), 2000), 256).alias("sha")),
-        "h3_tfidf_search": lambda s, d: ranking.tfidf(docs(s, d), _sample(s), 30),
-        "h7_rrf": lambda s, d: ranking.rrf(_hits(events(s, d), SECTION), _hits(events(s, d), SECTION, LEXICAL), 30),
-        "h8_rank_sum": lambda s, d: ranking.rank_sum([(_hits(events(s, d), QUERY), 0.7), (_hits(events(s, d), QUERY, LEXICAL), 0.3)]),
-        "s3_enqueue": lambda s, d: queue.enqueue(_jobs(docs(s, d)), docs(s, d).filter("lang in ('fr', 'de')").selectExpr("doc_id key")),
-        "s4_lease": lambda s, d: queue.lease(events(s, d), 100),
-        "s18_batches": lambda s, d: queue.batches(docs(s, d)),
-        "h5_dense_top_k": lambda s, d: search.dense_top_k(embeddings(s, d), embeddings(s, d).filter("vec_id < 20"), 10),
-        "h1_bm25_search_all": lambda s, d: search.bm25(docs(s, d), search.all_queries(docs(s, d)), 30, few=False),
-        "h3_tfidf_search_all": lambda s, d: ranking.tfidf(docs(s, d), search.all_queries(docs(s, d)), 30),
-        "h5_dense_top_k_all": lambda s, d: search.dense_top_k_blocks(embeddings(s, d), embeddings(s, d).filter(F.col("vec_id") % search.EACH == 0), 10),
-    }
+    return {**corpus.QUERIES, **retrieval.QUERIES, **work.QUERIES}
 
 
 def oracle_sql() -> dict:
-    from loomfold.plans.oracles import SQL
-
-    return SQL
+    """Queries without SQL run sequential parsers or draw pseudo-random vectors; tests hold them against plain Python."""
+    return {**corpus.SQL, **retrieval.SQL, **work.SQL}
