@@ -62,7 +62,8 @@ def task_time(entries: DataFrame, names: DataFrame | None = None) -> DataFrame:
     by = entries.groupBy("task", "user_id").agg(F.sum("seconds").alias("seconds"), F.count("*").alias("entries"))
     by = by.withColumn("rank", F.row_number().over(Window.partitionBy("task").orderBy(F.desc("seconds"), "user_id")))
     whole = by.groupBy("task").agg(F.sum("seconds").alias("seconds"), F.sum("entries").alias("entries")).select("task", F.lit(None).cast("string").alias("user_id"), "seconds", "entries", F.lit(0).alias("rank"))
-    out = by.unionByName(whole).withColumn("hours", F.round(F.col("seconds") / 3600, 2))
+    # rounded by the binary value, as floats are elsewhere: 522 seconds are 0.14 hours
+    out = by.unionByName(whole).withColumn("hours", F.floor(F.col("seconds") / 3600 * 100 + 0.5) / 100)
     if names is not None:
         out = out.join(names.select(F.col("id").alias("user_id"), F.col("name").alias("user")), "user_id", "left").withColumn("user", F.coalesce("user", "user_id"))
     return out
