@@ -59,26 +59,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, few: bool = True) -> DataF
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank by cosine; the query set is small and given, so it is broadcast."""
-    def unit(v):
-        return F.transform(v, lambda x: x.cast("double"))
-
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-    c = corpus.select("vec_id", unit(F.col("embedding")).alias("v")).withColumn("l", F.sqrt(dot(F.col("v"), F.col("v"))))
-    q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("qv")).withColumn("ql", F.sqrt(dot(F.col("qv"), F.col("qv"))))
-    pairs = c.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    pairs = pairs.select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("qv")) / (F.col("l") * F.col("ql")), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-
-
 def dense_top_k_blocks(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """As dense_top_k, for queries whose number grows: blocks of both meet, and each pair of blocks gives k rows for a query.
+    """query_id, vec_id, score, rank by cosine (H5): blocks of both sides meet, and each pair of blocks gives k rows for a query.
 
-    Null, empty and zero vectors take no part; all vectors have one length.
+    A query is not its own answer. Null, empty and zero vectors take no part; all vectors have one length.
     """
 
     def blocks(df, name, size):
