@@ -16,7 +16,7 @@ from loomfold.llm.common import durable
 
 def components(edges: DataFrame) -> DataFrame | None:
     """`edges`: a, b. Returns node, root for each node with an edge, root being the least node reachable; None without edges."""
-    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
+    both = durable(edges.filter("a != b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
     if both.isEmpty():
         return None
     now = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")))

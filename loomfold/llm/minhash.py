@@ -205,7 +205,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # the hub's set goes to its pairs first, so that the heavy rows are dealt by the other end
         out = pairs.filter("a != b").distinct().join(sets.withColumnsRenamed({"id": "a", "x": "x_a"}), "a")
         out = out.join(sets.withColumnsRenamed({"id": "b", "x": "x_b"}), "b").select("a", "b", "x_a", "x_b")
-        return durable(out.mapInArrow(_verified, "a long, b long"))
+        return out.mapInArrow(_verified, "a long, b long")
 
     roots = components(verify(shared.select(F.col("lo").alias("a"), F.col("id").alias("b"))))
     for last in (False, True):
@@ -223,7 +223,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")})
             dealt = dealt.drop("m", "blocks", "o").join(nodes.select("id", "keys"), "id").join(sets, "id")
             dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
-            found = durable(dealt.mapInArrow(_linked_parts, "a long, b long"))
+            found = dealt.mapInArrow(_linked_parts, "a long, b long")
         roots = merged(roots, found)
     names = nodes.select("digest", "id", "label", "first")
     if roots is not None:
