@@ -138,7 +138,7 @@ def full_text(chunks: DataFrame, queries: DataFrame, k: int, sections=None, filt
     lengths = chunks.select("chunk_id", sum(F.size(T.search_tokens(F.col(c))) for c in COLUMNS).alias("length"))
     totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
     starts = index.join(wanted, "token").groupBy("phrase", "n", "chunk_id", "column", (F.col("position") - F.col("place")).alias("start")).agg(F.count("*").alias("places"))
-    found = starts.filter("places = n").groupBy("phrase", "chunk_id").agg(F.count("*").alias("f"))
+    found = starts.filter("places = n").groupBy("phrase", "chunk_id").agg(F.count("*").alias("f")).persist()  # counted, then scored
     df = found.groupBy("phrase").agg(F.count("*").alias("df"))
     scored = found.join(df, "phrase").join(lengths, "chunk_id").crossJoin(F.broadcast(totals))
     odds = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
