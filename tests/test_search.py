@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomfold.operators import evaluate, ranking, search, toolkits
+from loomfold.operators import evaluate, ranking, search, sparse, toolkits
 
 CHUNK = "chunk_id string, page_id string, section string, title string, breadcrumbs string, text string, chunk_index int, duplicate_ordinal int, content_type string"
 PAGE = "page_id string, section string, title string, url string, breadcrumbs string, deleted_at timestamp, parent_text string, source_text string"
@@ -152,3 +152,34 @@ def test_scenario_score(spark):
     got = toolkits.scenario_scores(spark.createDataFrame([(1, text), (2, None)], "scenario_id int, text string")).orderBy("scenario_id").collect()
     assert tuple(got[0][c] for c in ("total_steps", "with_page_id", "with_page_id_pct", "explicit_gaps", "ungrounded_candidates", "unique_page_ids")) == (3, 1, 33.3, 1, 1, ["123456"])
     assert got[1].total_steps == 0 and got[1].with_page_id_pct == 0 and got[1].unique_page_ids == []
+
+
+def test_sparse_blocks_against_brute_force(spark, monkeypatch):
+    """Many blocks on both sides, ties, terms that count only together; no pair of a query and a row is shuffled."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for name, value in (("ROWS", 7), ("QUERIES", 3), ("EXPANDED", 40), ("DEARER", 3)):
+        monkeypatch.setattr(sparse, name, value)
+    bags = [(("A", "B")[i % 2], i, 1, [int(t) for t in rng.integers(0, 12, 6)]) for i in range(60)]
+    asked = [(q, t, float(1 + t % 3), q % 2 == 1) for q in range(8) for t in {int(t) for t in rng.integers(0, 14, 3)}]
+    packed = sparse.blocks(spark.createDataFrame(bags, "grp string, id long, dl int, terms array<long>"), True)
+    queries = sparse.query_blocks(spark.createDataFrame(asked, "query_id long, term long, weight double, together boolean"))
+    found = sparse.top_k(packed, queries, 4, 6, lambda row, dl, vocab, ptr, at, n: n.astype(float)).toPandas()
+    for q in range(8):
+        own = [(t, w, x) for a, t, w, x in asked if a == q]
+        for grp in "AB":
+            scores = [(-sum(w * terms.count(t) for t, w, _ in own), i) for g, i, _, terms in bags if g == grp and (q % 2 == 0 or all(t in terms for t, _, _ in own))]
+            want = sorted(x for x in scores if x[0] < 0)[:4]
+            got = found[(found.query_id == str(q)) & (found.grp == grp)]
+            assert sorted(zip(-got.score, got.id.astype(int), strict=True))[:4] == want
+
+
+@pytest.mark.parametrize("name", ["h4_okapi", "h1_bm25_search_all", "h3_tfidf_search_all"])
+def test_searches_shuffle_no_pairs(spark, name):
+    import re
+
+    from loomfold.plans import catalogue
+
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[query_id#\d+L?, (section#\d+, )?(doc_id|chunk_id)", plan)
