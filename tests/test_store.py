@@ -170,3 +170,13 @@ def test_filters(spark):
 
     assert rows.select(filters.point_ids(F.col("chunk_id"), "x:").alias("p")).first().p == str(uuid.uuid5(uuid.NAMESPACE_URL, "x:1"))
     assert rows.select(filters.event_kind(F.lit(" PAGE_Trashed ")).alias("k")).first().k == "delete"
+
+
+def test_renumbering_is_gapless_at_size(spark):
+    """Range bounds come from samples, which two runs of one plan draw anew: the numbers must not rest on them."""
+    index = spark.range(0, 400_000, 1, 8).selectExpr("(id * 7919) % 400000 n", "cast(id % 100 as string) page_id", "id chunk_id")
+    pages = spark.createDataFrame([("3",), ("5",), ("absent",)], "page_id string")
+    out = store.keep_and_append(index, index, pages).toPandas().sort_values("n")
+    assert out.n.tolist() == list(range(400_000))
+    old = (out.chunk_id * 7919 % 400_000).tolist()
+    assert all(a < b for a, b in zip(old[:391_999], old[1:392_000], strict=True)) and set(out.page_id[392_000:]) == {"3", "5"} and old[392_000:] == sorted(old[392_000:])
