@@ -97,7 +97,8 @@ def lease_events(events: DataFrame, worker: str, n: int, now: str, seconds: int
 def _changed(jobs: DataFrame, requests: DataFrame, holds: Column, values: dict[str, Column]) -> DataFrame:
     """Jobs with `values` where a request of the same id meets them and `holds`. Of requests: columns other than id are named r_*."""
     asked = requests.select("id", *[F.col(c).alias(f"r_{c}") for c in requests.columns if c != "id"], F.lit(True).alias("r_"))
-    out = jobs.join(asked.dropDuplicates(["id"]), "id", "left")
+    # merged, not broadcast: requests may be as many as the jobs, and their texts larger than they look compressed
+    out = jobs.join(asked.dropDuplicates(["id"]).hint("merge"), "id", "left")
     hit = F.coalesce(F.col("r_") & holds, F.lit(False))
     return out.select(*[(F.when(hit, values[c]).otherwise(F.col(c)).cast(t) if c in values else F.col(c)).alias(c) for c, t in jobs.dtypes])
 
@@ -148,9 +149,9 @@ def fail(jobs: DataFrame, failed: DataFrame, now: str, most: int = 5, base: floa
     attempts = F.col("attempts") + 1
     values = {
         "attempts": attempts, "status": F.when(attempts >= most, "dead").otherwise("pending"), "available_at": after(now, backoff_seconds(attempts, most, base)),
-        "leased_by": F.lit(None), "lease_expires_at": F.lit(None), "last_error": F.substring("r_error", 1, ERROR),
+        "leased_by": F.lit(None), "lease_expires_at": F.lit(None), "last_error": F.col("r_error"),
     }
-    return _changed(jobs, failed, _owned(), values)
+    return _changed(jobs, failed.withColumn("error", F.substring("error", 1, ERROR)), _owned(), values)
 
 
 def backoff_seconds(attempts: Column, most: int = 5, base: float = 5.0) -> Column:

@@ -180,3 +180,13 @@ def test_renumbering_is_gapless_at_size(spark):
     assert out.n.tolist() == list(range(400_000))
     old = (out.chunk_id * 7919 % 400_000).tolist()
     assert all(a < b for a, b in zip(old[:391_999], old[1:392_000], strict=True)) and set(out.page_id[392_000:]) == {"3", "5"} and old[392_000:] == sorted(old[392_000:])
+
+
+def test_long_errors_are_cut_and_not_broadcast(spark):
+    """Texts that compress well look small to the planner; as a broadcast they filled the driver."""
+    jobs = spark.range(2000).selectExpr("id", "'leased' status", "0 attempts", "cast(null as timestamp) available_at", "'w' leased_by", "cast(null as timestamp) lease_expires_at")
+    failed = spark.range(2000).selectExpr("id", "'w' worker", "repeat('failed ', 1000) error")
+    out = queue.fail(jobs, failed, "2024-01-01 00:00:00")
+    assert {(r.status, r.attempts, len(r.last_error)) for r in out.collect()} == {("pending", 1, 2000)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan
