@@ -183,3 +183,12 @@ def test_searches_shuffle_no_pairs(spark, name):
 
     plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Aggregate \[query_id#\d+L?, (section#\d+, )?(doc_id|chunk_id)", plan)
+
+
+def test_full_text_shuffles_no_pairs(spark):
+    import re
+
+    from loomfold.plans import catalogue
+
+    plan = catalogue.queries()["h1_codes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[query_id#\d+L?, chunk_id", plan)
