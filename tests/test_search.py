@@ -192,3 +192,19 @@ def test_full_text_shuffles_no_pairs(spark):
 
     plan = catalogue.queries()["h1_codes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Aggregate \[query_id#\d+L?, chunk_id", plan)
+
+
+def test_needles_in_one_pass(spark):
+    """Every needle that a text or title holds, of any length, across Arrow batches; no pair of a query and a chunk is compared by a join."""
+    import random
+
+    draw = random.Random(3)
+    text = lambda n: "".join(draw.choice("abAB éß") for _ in range(n))
+    rows = [(str(i), text(draw.randint(0, 40)) if i % 9 else None, text(draw.randint(0, 12)) if i % 7 else None) for i in range(80)]
+    asked = [(q, text(draw.randint(0, 4)) if q % 3 else (rows[q][1] or "x")[2:30]) for q in range(30)] + [(97, ""), (98, None), (99, "")]
+    low = lambda x: "".join(c.lower() if c.isascii() else c for c in x)
+    want = sorted((q, c) for q, n in asked if n is not None for c, t, h in rows if any(x is not None and low(n) in low(x) for x in (t, h)))
+    got = search.like_search(spark.createDataFrame(rows, "chunk_id string, text string, title string").repartition(3), spark.createDataFrame(asked, "query_id long, query string"))
+    assert sorted((r.query_id, r.chunk_id) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains" not in plan.lower()
