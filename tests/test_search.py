@@ -194,6 +194,43 @@ def test_full_text_shuffles_no_pairs(spark):
     assert not re.search(r"Aggregate \[query_id#\d+L?, chunk_id", plan)
 
 
+def test_few_terms_against_blocks_of_queries(spark, monkeypatch):
+    """Queries at hand in every task find what blocks of queries find; ties, groups and terms that count only together."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for name, value in (("ROWS", 7), ("QUERIES", 3), ("SHARED", 3)):
+        monkeypatch.setattr(sparse, name, value)
+    bags = spark.createDataFrame([(("A", "B")[i % 2], i, 1, [int(t) for t in rng.integers(0, 12, 6)]) for i in range(60)], "grp string, id long, dl int, terms array<long>")
+    asked = spark.createDataFrame([(q, t, float(1 + t % 3), q % 2 == 1) for q in range(8) for t in {int(t) for t in rng.integers(0, 14, 3)}], "query_id long, term long, weight double, together boolean")
+    plain = lambda row, dl, vocab, ptr, at, n: n.astype(float)
+    few = sparse.top_k_of_few_terms(bags, True, asked, 4, 6, lambda *block: plain(None, *block)).toPandas()
+    all_ = sparse.top_k(sparse.blocks(bags, True), sparse.query_blocks(asked), 4, 6, plain).toPandas()
+    assert len(few) and sorted(map(tuple, few.to_numpy())) == sorted(map(tuple, all_.to_numpy()))
+
+
+def test_full_text_copies_no_block_for_blocks_of_queries(spark, tables):
+    plan = search.full_text(tables[0], ask(spark, "architecture"), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "q_terms" not in plan
+
+
+def test_hits_are_normalised_in_one_reading(spark):
+    hits = spark.createDataFrame([(1, "a", -2.0), (1, "b", 1.0), (2, "a", 0.0), (None, "a", 3.0)], "query_id long, chunk_id string, score double")
+    got = ranking.max_normalised(hits)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.query_id, r.chunk_id, r.score) for r in got.collect()) == [(1, "a", 1.0), (1, "b", 0.5), (2, "a", 0.0)]
+
+
+def test_nearest_of_a_row_with_ties():
+    import numpy as np
+
+    scores = np.array([[0.1, 0.5, 0.5, np.nan, 0.9], [np.nan, np.nan, 0.0, 0.0, 0.0]])
+    for k in (1, 2, 3, 5, 9):
+        q, i = search._best_of(scores, k, 10)
+        want = [(r, 10 + int(c)) for r in range(2) for c in np.argsort(-scores[r], kind="stable")[:k]]
+        assert list(zip(q.tolist(), i.tolist(), strict=True)) == want
+
+
 def test_needles_in_one_pass(spark):
     """Every needle that a text or title holds, of any length, across Arrow batches; no pair of a query and a chunk is compared by a join."""
     import random
