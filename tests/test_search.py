@@ -245,3 +245,11 @@ def test_needles_in_one_pass(spark):
     assert sorted((r.query_id, r.chunk_id) for r in got.collect()) == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "contains" not in plan.lower()
+
+
+@pytest.mark.parametrize("name", ["h7_rrf"])
+def test_searches_over_the_full_text_copy_no_blocks(spark, name):
+    from loomfold.plans import catalogue
+
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "q_terms" not in plan and plan.count("together") == 0
