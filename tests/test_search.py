@@ -247,7 +247,7 @@ def test_needles_in_one_pass(spark):
     assert "contains" not in plan.lower()
 
 
-@pytest.mark.parametrize("name", ["h7_rrf"])
+@pytest.mark.parametrize("name", ["h7_rrf", "h10_hybrid_parents"])
 def test_searches_over_the_full_text_copy_no_blocks(spark, name):
     from loomfold.plans import catalogue
 
