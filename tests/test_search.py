@@ -1,5 +1,6 @@
 """Hybrid search, ranks and evaluation."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,3 +254,25 @@ def test_searches_over_the_full_text_copy_no_blocks(spark, name):
 
     plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "q_terms" not in plan and plan.count("together") == 0
+
+
+def test_dense_reads_vectors_once(spark, monkeypatch):
+    monkeypatch.setattr(search, "ROWS", 8)
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (60, 4)).astype(float)
+    vectors[7] = 0
+    own = [f"s{i % 3}" for i in range(60)]
+    chunks = spark.createDataFrame([(f"c{i:02}", own[i]) for i in range(60)], "chunk_id string, section string").repartition(5)
+    held = spark.createDataFrame([(f"c{i:02}", v.tolist()) for i, v in enumerate(vectors)], "chunk_id string, vector array<double>").repartition(5)
+    asked = spark.createDataFrame([(i, vectors[i].tolist()) for i in range(0, 60, 7)] + [(99, None)], "query_id long, vector array<double>").repartition(5)
+    found = search.dense(chunks, held, asked, 4)
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
+    expected = set()
+    for q in range(0, 60, 7):
+        if q == 7:
+            continue
+        for s in ("s0", "s1", "s2"):
+            best = sorted((-round(float(unit[q] @ unit[i]), 9), f"c{i:02}") for i in range(60) if own[i] == s and i != 7)[:4]
+            expected |= {(q, c, s, round(max(-x, 0), 6), r + 1) for r, (x, c) in enumerate(best)}
+    assert {(r.query_id, r.chunk_id, r.section, round(r.score, 6), r["rank"]) for r in found.collect()} == expected
