@@ -276,3 +276,11 @@ def test_dense_reads_vectors_once(spark, monkeypatch):
             best = sorted((-round(float(unit[q] @ unit[i]), 9), f"c{i:02}") for i in range(60) if own[i] == s and i != 7)[:4]
             expected |= {(q, c, s, round(max(-x, 0), 6), r + 1) for r, (x, c) in enumerate(best)}
     assert {(r.query_id, r.chunk_id, r.section, round(r.score, 6), r["rank"]) for r in found.collect()} == expected
+
+
+@pytest.mark.parametrize("name", ["h7_rrf", "h10_hybrid_parents"])
+def test_searches_pair_no_blocks_of_vectors(spark, name):
+    from loomfold.plans import catalogue
+
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "q_ids" not in plan and "c_ids" not in plan
