@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfold.llm.common import plain, table
+from loomfold.llm.common import lean, plain, table
 
-SAMPLE, DIMENSIONS, EPOCHS, PENALTY, THRESHOLD, KEPT = 12_000, 1 << 18, 12, 0.1, 0.7, 300_000
+SAMPLE, DIMENSIONS, EPOCHS, PENALTY, THRESHOLD, KEPT = 12_000, 1 << 18, 12, 0.1, 0.7, 100_000
 WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 
 
@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame):
 
     joined = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(sample), "doc_id").selectExpr("doc_id", "cast(q as int) q", "text")
     # rows that share a doc_id train once, so that the sample's bound holds
-    rows = joined.mapInArrow(features, "doc_id long, q int, x binary").groupBy("doc_id", "q").agg(F.min("x").alias("x"))
+    rows = joined.mapInArrow(lean(features), "doc_id long, q int, x binary").groupBy("doc_id", "q").agg(F.min("x").alias("x"))
     got = rows.coalesce(1).mapInArrow(fit_all, "weights binary, ratio binary, a double, b double").collect()
     return ((np.frombuffer(got[0].weights), np.frombuffer(got[0].ratio)), got[0].a, got[0].b) if got else None
 
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, score double")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model, least: float = THRESHOLD) -> DataFrame:
@@ -181,7 +181,7 @@ def accepted(docs: DataFrame, model, least: float = THRESHOLD) -> DataFrame:
 
     # by number, as the names may hold dots
     numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
-    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
+    return numbered.mapInArrow(lean(run), numbered.schema).toDF(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
+import functools
 import re
 import tempfile
 
@@ -55,6 +58,28 @@ def cut(text: str, limit: int = 1_000_000):
         yield text[at:]
 
 
+#: Rows of a batch that a task turns into Python's objects at once.
+SLICE = 512
+
+
+def lean(run):
+    """`run` over slices of its Arrow batches, so that no large batch's objects or results are held at once; what a task has freed goes back to the system
+    at its end, as its worker and those that wait share the executor's memory."""
+
+    @functools.wraps(run)
+    def sliced(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return sliced
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}

@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfold.llm.common import BROADCAST_ROWS, durable, keyed, plain, table, whole_groups, without
+from loomfold.llm.common import BROADCAST_ROWS, durable, keyed, lean, plain, table, whole_groups, without
 from loomfold.llm.components import components, merged
 
-WORDS, WIDTH, BANDS, ROWS, AGREE, BLOCK, KEPT = 5, 128, 32, 4, 74, 512, 400_000
+WORDS, WIDTH, BANDS, ROWS, AGREE, BLOCK, KEPT = 5, 128, 32, 4, 74, 512, 100_000
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Stands in the join key for a null doc_id.
 NO_ID = 2**63 - 1
@@ -189,7 +189,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, k and h: the keys KEY, digest, n_shingles), and of each digest the least doc_id and the first key of its component."""
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     texts = texts.selectExpr("doc_id", "text", *(f"{sql} {name}" for name, sql in KEY.items()))
-    rows = durable(texts.select("doc_id", "text", "h").mapInArrow(_sketched, "doc_id long, h long, digest binary, n_shingles long, keys array<long>"))
+    rows = durable(texts.select("doc_id", "text", "h").mapInArrow(lean(_sketched), "doc_id long, h long, digest binary, n_shingles long, keys array<long>"))
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "h")).alias("first")
     nodes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("label"), first, F.first("keys", ignorenulls=True).alias("keys"))
     nodes = durable(nodes.withColumn("id", F.monotonically_increasing_id()))
@@ -199,7 +199,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = durable(nodes.select("id", "first.k", "first.h", "digest").join(shared.select("id").distinct(), "id", "left_semi"))
     small = wanted.count() <= BROADCAST_ROWS
     found = texts.join(F.broadcast(wanted) if small else wanted, ["k", "h"]).select("text", "id", "digest")
-    sets = durable(found.mapInArrow(_sets, "id long, x array<long>").dropDuplicates(["id"]))
+    sets = durable(found.mapInArrow(lean(_sets), "id long, x array<long>").dropDuplicates(["id"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
         # the hub's set goes to its pairs first, so that the heavy rows are dealt by the other end

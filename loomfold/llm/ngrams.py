@@ -23,10 +23,11 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfold.llm.common import durable, plain, table
+from loomfold.llm.common import durable, lean, plain, table
 
 #: SQL that names a row by its content.
 ROW = "md5(concat(coalesce(cast(doc_id as string), ''), ':', coalesce(cast(lang as string), ''), ':', coalesce(cast(text as string), '')))"
@@ -35,6 +36,8 @@ ORDER, BAND, FLOOR = 4, 8.0, 0.35
 BROADCAST_GRAMS = 4_000_000
 #: The code point that stands before the start mark, and points that are handled at once.
 PAD, STEP = 0x110000, 200_000
+#: Points of a language that a task holds until it counts their windows.
+HELD = 400_000
 #: Width of the bins in which costs of labelled documents are counted.
 BIN = 0.002
 #: What the base rules reject.
@@ -112,27 +115,30 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.selectExpr(f"{ROW} row", "cast(doc_id as long) doc_id", "coalesce(cast(lang as string), '') lang", "cast(text as string) text")
 
 
+def counted(batches):
+    """lang, hi, lo, c: the distinct windows of runs of texts of a language, with their counts."""
+    parts, held = {}, Counter()
+
+    def table_of(lang):
+        hi, lo, c = distinct_windows(parts.pop(lang))
+        held.pop(lang)
+        arrays = [pa.repeat(pa.scalar(lang, pa.string()), len(hi)), *(pa.array(x.astype(np.int64)) for x in (hi, lo, c))]
+        return pa.RecordBatch.from_arrays(arrays, names=["lang", "hi", "lo", "c"])
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part in pieces(codes(plain(text))):
+                parts.setdefault(lang, []).append(part)
+                held[lang] += len(part)
+                if held[lang] > HELD:
+                    yield table_of(lang)
+    for lang in list(parts):
+        yield table_of(lang)
+
+
 def windows(docs: DataFrame) -> DataFrame:
     """lang, hi, lo, c: the distinct windows of all documents with their counts, null where pads stand before the start mark."""
-
-    def count(frames):
-        for frame in frames:
-            for lang, texts in frame.groupby("lang")["text"]:
-                parts, held = [], 0
-                for part in (x for t in texts for x in pieces(codes(plain(t)))):
-                    parts.append(part)
-                    held += len(part)
-                    if held > 1_000_000:
-                        yield table_of(lang, parts)
-                        parts, held = [], 0
-                if parts:
-                    yield table_of(lang, parts)
-
-    def table_of(lang, parts):
-        hi, lo, c = distinct_windows(parts)
-        return pd.DataFrame({"lang": lang, "hi": hi.astype(np.int64), "lo": lo.astype(np.int64), "c": c})
-
-    rows = texts_of(docs).select("lang", "text").mapInPandas(count, "lang string, hi long, lo long, c long")
+    rows = texts_of(docs).select("lang", "text").mapInArrow(lean(counted), "lang string, hi long, lo long, c long")
     return rows.groupBy("lang", "hi", "lo").agg(F.sum("c").alias("c")).withColumn("c", F.when(F.shiftright("hi", 21) != PAD, F.col("c")))
 
 
@@ -217,17 +223,15 @@ def scored(docs: DataFrame) -> DataFrame:
     small = table.count() <= BROADCAST_GRAMS
     held = docs.sparkSession.sparkContext.broadcast(lookup(table) if small else None)
 
-    def run(frames):
-        for f in frames:
-            texts = [plain(t) for t in f.text]
-            base = pd.DataFrame([base_rules(t) for t in texts], columns=BASE, dtype="int64")
-            base.insert(0, "row", f.row.to_numpy())
-            base.insert(1, "doc_id", f.doc_id.to_numpy())
-            base.insert(2, "lang", f.lang.to_numpy())
-            base["cost"] = [held.value.mean(t, a) for a, t in zip(f.lang, texts, strict=True)] if small else 0.0
-            yield base
-
-    rows = texts_of(docs).mapInPandas(run, "row string, doc_id long, lang string, " + ", ".join(f"{c} long" for c in BASE) + ", cost double")
+    def run(batches):
+        for batch in batches:
+            langs, texts = batch.column(2).to_pylist(), [plain(t) for t in batch.column(3).to_pylist()]
+            base = np.array([base_rules(t) for t in texts], np.int64).reshape(-1, len(BASE))
+            cost = np.array([held.value.mean(t, a) for a, t in zip(langs, texts, strict=True)] if small else np.zeros(len(texts)), np.float64)
+            arrays = [*batch.columns[:3], *(pa.array(np.ascontiguousarray(x)) for x in base.T), pa.array(cost)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "lang", *BASE, "cost"])
+
+    rows = texts_of(docs).mapInArrow(lean(run), "row string, doc_id long, lang string, " + ", ".join(f"{c} long" for c in BASE) + ", cost double")
     if small:
         return rows
     own = texts_of(docs).mapInPandas(own_windows, "row string, lang string, hi long, lo long, c long").join(table, ["lang", "hi", "lo"])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from loomfold.llm.common import SPECIAL, SPECIAL_ID, cut, encoder, plain
+from loomfold.llm.common import SPECIAL, SPECIAL_ID, cut, encoder, lean, plain
 
 WINDOW, TIERS, END = 1024, (128, 256, 512, 1024), 0
 #: Tails that wait in one task before they are packed; sequences that are balanced together; sequences in a step group.
@@ -158,4 +158,4 @@ def pack(docs: DataFrame) -> DataFrame:
         packer.finish()
         yield packer.rows()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(run), SCHEMA)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from importlib import metadata
@@ -9,10 +10,11 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from loomfold.llm import bpe, chat, classifier, lattice, licenses, minhash, ngrams, packing, secrets, transducer
+from loomfold.llm import bpe, chat, classifier, common, lattice, licenses, minhash, ngrams, packing, secrets, transducer
 from loomfold.llm.common import encoder
 
 SHAPE = "doc_id long, text string, lang string, node string, score double, spans string, n long"
@@ -456,3 +458,25 @@ def test_classifier(docs, spark, none):
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     assert {r.score for r in classifier.classify(docs, labels.limit(0)).collect()} == {0.5}
     assert classifier.classify(none, labels).count() == 0
+
+
+def test_tasks_take_batches_in_slices():
+    batch = pa.RecordBatch.from_pydict({"text": ["x"] * 5000})
+    seen = []
+    rows = list(common.lean(lambda batches: (b for b in batches if seen.append(b.num_rows) is None))([batch]))
+    assert max(seen) <= common.SLICE and sum(r.num_rows for r in rows) == 5000
+
+
+def test_windows_are_counted_in_bounded_memory():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 5000))) for _ in range(120)]
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en", "de"] * 60, "text": texts})]
+    tracemalloc.start()
+    got = Counter()
+    for b in ngrams.counted(batches):
+        for lang, n in zip(b["lang"].to_pylist(), b["c"].to_pylist(), strict=True):
+            got[lang] += n
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {lang: got[lang] for lang in ("en", "de")} == {lang: sum(len(ngrams.codes(t)) - 3 for t in texts[k::2]) for k, lang in enumerate(("en", "de"))}
+    assert peak < 50 << 20
