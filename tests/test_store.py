@@ -169,6 +169,14 @@ def test_tables_of_near_signatures_are_not_broadcast(spark):
     assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
 
 
+def test_near_links_broadcast_no_tables(spark):
+    rows = spark.range(600).selectExpr("cast(id as string) chunk_id", "'p' page_id", "concat('one two three four five six ', id div 2, ' seven eight nine ten ', id % 2) text")
+    links = duplicates.near_links(rows)
+    assert len(links.collect()) == 600
+    plan = links._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin [t#" in plan and "BroadcastHashJoin [t#" not in plan
+
+
 def test_filters(spark):
     rows = spark.createDataFrame([("1", "A", "x"), ("2", "B", None)], "chunk_id string, section string, title string")
     assert [r.chunk_id for r in filters.metadata_filter(rows, {"title": "x"}, ["A"]).collect()] == ["1"]
